@@ -42,6 +42,8 @@ REJECT_Z, REJECT_SHARE = 6.0, 0.75
 SHARPNESS_CHARS = 40
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
 
+RESULT = ("lang_pred", "score", "cross_entropy", "rejected")
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -309,7 +311,7 @@ def calibrate(spark: SparkSession, m: Model, labelled: DataFrame, rows: int = CA
     return m
 
 
-def _predict(model, reject_z: float, reject_share: float):
+def _predict(model, reject_z: float, reject_share: float, drop: tuple[str, ...] = ("text",), prefix: str = ""):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model.value)
         m = s.m
@@ -330,8 +332,8 @@ def _predict(model, reject_z: float, reject_share: float):
                     excess = best - m.mean[j]
                     far = excess * np.sqrt(np.minimum(np.maximum(n, 1), 400)) > reject_z * m.spread[j]
                     reject = ~some | (far & (excess > reject_share * (m.wrong[j] - m.mean[j])))
-                kept = [batch.column(c).slice(lo, len(texts)) for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array(best), pa.array(reject)], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "cross_entropy", "rejected"])
+                kept = [batch.column(c).slice(lo, len(texts)) for c in batch.schema.names if c not in drop]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array(best), pa.array(reject)], [*(c for c in batch.schema.names if c not in drop), *(prefix + c for c in RESULT)])
 
     return run
 
@@ -343,6 +345,13 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, keys: dict[str,
     return docs.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(_predict(shared, reject_z, reject_share), schema)
 
 
+def keep(spark: SparkSession, docs: DataFrame, model: Model, columns: dict[str, str]) -> DataFrame:
+    """Like ``predict``, with the columns of ``docs`` (text too) as they are; the names of the results begin with ``__``."""
+    shared = spark.sparkContext.broadcast(model)
+    schema = ", ".join(f"`{c}` {t}" for c, t in columns.items()) + ", __lang_pred string, __score double, __cross_entropy double, __rejected boolean"
+    return docs.select(*(f"`{c}`" for c in columns)).mapInArrow(_predict(shared, REJECT_Z, REJECT_SHARE, (), "__"), schema)
+
+
 def fold(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 

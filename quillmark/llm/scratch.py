@@ -43,6 +43,12 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
+    def table(self, df: DataFrame, name: str) -> str:
+        """Writes a table and returns its path."""
+        path = self.path(name)
+        df.write.parquet(path)
+        return path
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             path = self._paths.pop(id(df), None)
