@@ -6,13 +6,14 @@
 2. A band of the signature is a bucket. In every bucket the most popular member (the one whose buckets
    are largest, which is the centre of a group of near copies) stands for the bucket, and the others are
    compared with it only. Links found this way join most of a group in one round, without its pairs.
-3. What is still apart but shares a bucket is compared next: one more round with a second
-   representative of each bucket, then every remaining pair of members in different components. No
-   candidate is dropped; members that a chain of links already joins need no further comparison.
-4. A comparison is sequential: signatures are compared in batches of BATCH positions, and after each one
-   the pair is dropped if the posterior probability that its similarity reaches the threshold is below
-   ``miss`` (uniform prior, so the posterior is a binomial tail). Survivors are verified exactly on their
-   whole shingle sets, in integers.
+3. What stays apart around one representative may still link with each other. For these groups the members outside
+   the largest component meet all members, exactly: a task holds two blocks of whole shingle sets, an inverted index
+   of the sets (of the absences, for shingles that most of them have, so near copies cost their differences only), and
+   emits a spanning forest of the links. Groups of any size are cut into blocks; no pair becomes a row.
+4. A comparison with a representative is sequential: signatures are compared in batches of BATCH positions, and after
+   each one the pair is dropped if the posterior probability that its similarity reaches the threshold is below
+   ``miss`` (uniform prior, so the posterior is a binomial tail). Survivors are verified exactly on their whole
+   shingle sets, in integers.
 5. Components of the links come from repeated contraction.
 
 Null, empty and white-space texts have no shingles, link with nothing and are kept. Texts with fewer
@@ -38,6 +39,8 @@ BANDS, ROWS = 24, 6
 BATCH = 24
 MISS = 1e-7
 SEED = 20_240_601
+#: Bytes of shingle sets on either side of a block, and sets, about.
+BLOCK_BYTES, BLOCK_SETS = 8 << 20, 4_096
 CACHE_WORDS, CACHE_BYTES = 400_000, 48
 
 
@@ -203,7 +206,7 @@ class _Finder:
         self.docs = rows
         self.signed = self.work.write(rows.mapInArrow(_sign(words, BANDS, ROWS), "doc_id long, n_shingles long, node binary, sig binary"), "signed")
         #: one row per class of equal sets: its least doc_id and its signature
-        self.classes = self.work.write(self.signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+        self.classes = self.work.write(self.signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
 
     def members(self) -> DataFrame:
         """(bucket, node, pop) of buckets with two classes at least."""
@@ -217,15 +220,18 @@ class _Finder:
         self.work.drop(each, both, shared)
         return out
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of the given nodes, from their whole texts."""
+        ids = self.classes.join(nodes, "node", "left_semi").select("doc_id", "node")
+        sets = self.docs.join(ids, "doc_id").select("node", "text").mapInArrow(_shingles(self.words), "node binary, shingles binary")
+        return self.work.write(sets.dropDuplicates(["node"]), "sets")
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that the signatures leave and the whole sets confirm."""
         sig = self.classes.select("node", "sig")
         x = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         left = self.work.write(x.select("a", "b", "sa", "sb").mapInArrow(_prune(self.num / self.den, BANDS * ROWS, self.miss), "a binary, b binary"), "survivors")
-        wanted = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-        ids = self.classes.join(wanted, "node").select("doc_id", "node")
-        sets = self.docs.join(ids, "doc_id").select("node", "text").mapInArrow(_shingles(self.words), "node binary, shingles binary")
-        sets = self.work.write(sets.dropDuplicates(["node"]), "sets")
+        sets = self.sets(left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))))
         y = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
         out = self.work.write(y.select("a", "b", "xa", "xb").mapInArrow(_verify(self.num, self.den), "a binary, b binary"), "links")
         self.work.drop(left, sets)
@@ -233,44 +239,94 @@ class _Finder:
 
     def components(self) -> DataFrame:
         """(node, root) of the classes that have links."""
-        members, links, tested, roots = self.members(), None, None, None
-        for last in (False, False, True):
-            now = members.select("bucket", "node", "pop", F.col("node").alias("root")) if roots is None else members.join(roots, "node", "left").select("bucket", "node", "pop", F.coalesce("root", "node").alias("root"))
-            if roots is not None:
-                # Only buckets whose members are still in several components.
-                split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-                now = self.work.write(now.join(split, "bucket"), "apart")
-                if now.isEmpty():
-                    break
-            pairs = self.all_pairs(now) if last else self.star_pairs(now, tested)
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = self.work.write(pairs.distinct(), "pairs")
-            found = self.compare(pairs)
-            links = found if links is None else self.work.write(links.unionByName(found), "links")
-            tested = pairs if tested is None else self.work.write(tested.unionByName(pairs), "tested")
-            roots = connected_components(self.work, links)
-        return roots
-
-    def star_pairs(self, now: DataFrame, tested: DataFrame | None) -> DataFrame:
-        """Each bucket's most popular member (outside the component of the first one, in a later round) with the others of other components."""
-        rank = F.struct("pop", "node", "root")
-        best = self.work.write(now.groupBy("bucket").agg(F.max(rank).alias("r")), "best")
-        if tested is not None:
-            rest = now.join(best, "bucket").where(F.col("root") != F.col("r.root"))
-            best = self.work.write(rest.groupBy("bucket").agg(F.max(rank).alias("r")), "best")
-        x = now.join(best, "bucket").where((F.col("node") != F.col("r.node")))
-        if tested is not None:
-            x = x.where(F.col("root") != F.col("r.root"))
-        return x.select(F.least("node", F.col("r.node")).alias("a"), F.greatest("node", F.col("r.node")).alias("b"))
-
-    def all_pairs(self, now: DataFrame) -> DataFrame:
-        """All pairs of a bucket in different components; members of the bucket's largest component meet only the others, never each other."""
-        size = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = size.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
-        few = self.work.write(now.join(main, "bucket").where("root <> main").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), "few")
-        x = few.join(now.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")), "bucket").where("ra <> rb")
-        return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        members = self.members()
+        best = self.work.write(members.groupBy("bucket").agg(F.max(F.struct("pop", "node"))["node"].alias("rep")), "best")
+        star = self.work.write(members.join(best, "bucket").where("node <> rep").select("rep", "node").distinct(), "star")
+        self.work.drop(members, best)
+        links = self.compare(star.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct())
+        roots = connected_components(self.work, links)
+        more = self.apart(star, roots)
+        if more is None or more.isEmpty():
+            return roots
+        return connected_components(self.work, links.unionByName(more))
+
+    def apart(self, star: DataFrame, roots: DataFrame) -> DataFrame | None:
+        """Links between members of one representative that are in different components."""
+        group = star.join(roots, "node", "left").select("rep", "node", F.coalesce("root", "node").alias("root"))
+        group = self.work.write(group.join(self.classes.select("node", "n_shingles"), "node"), "groups")
+        per_root = group.groupBy("rep", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+        main = F.max(F.struct("n", "root", "size")).alias("m")
+        plan = per_root.groupBy("rep").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("roots"), main).where("roots > 1")
+        parts = lambda n, size: F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(size * 8 / BLOCK_BYTES)).cast("int")
+        plan = plan.select("rep", F.col("m.root").alias("main"), parts(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("rows"), parts(F.col("n"), F.col("size")).alias("cols"))
+        plan = self.work.write(plan, "plan")
+        if plan.isEmpty():
+            return None
+        met = group.join(plan, "rep")
+        h = F.xxhash64("node")
+        few = met.where("root <> main").select("rep", "node", "root", F.lit(True).alias("few"), F.pmod(h, F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+        every = met.select("rep", "node", "root", F.lit(False).alias("few"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(h, F.col("cols")).cast("int").alias("j"))
+        blocks = self.work.write(few.unionByName(every), "blocks")
+        sets = self.sets(blocks.select("node"))
+        found = blocks.join(sets, "node").groupBy("rep", "i", "j").applyInArrow(_meet(self.num, self.den), "a binary, b binary")
+        found = self.work.write(found, "links")
+        self.work.drop(group, plan, blocks, sets)
+        return found
+
+
+def meet(rows: list[np.ndarray], row_roots: list, cols: list[np.ndarray], col_roots: list, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """(row, column) of the sets in different components that link, by an inverted index of the columns."""
+    sizes = np.array([len(c) for c in cols], dtype=np.int64)
+    owner = np.repeat(np.arange(len(cols)), sizes)
+    values, inverse, counts = np.unique(np.concatenate(cols), return_inverse=True, return_counts=True)
+    owner = owner[np.argsort(inverse, kind="stable")]
+    ends = np.cumsum(counts)
+    most = counts * 2 > len(cols)
+    everyone = np.arange(len(cols))
+    lacking = {int(v): np.setdiff1d(everyone, owner[ends[v] - counts[v] : ends[v]], assume_unique=True) for v in np.flatnonzero(most)}
+    names = {r: k for k, r in enumerate(dict.fromkeys([*row_roots, *col_roots]))}
+    col_root = np.array([names[r] for r in col_roots])
+    for i, x in enumerate(rows):
+        at = np.searchsorted(values, x)
+        at[at == len(values)] = 0
+        at = at[values[at] == x]
+        common = at[most[at]]
+        both = np.full(len(cols), len(common), dtype=np.int64)
+        if len(common):
+            both -= np.bincount(np.concatenate([lacking[int(v)] for v in common]), minlength=len(cols))
+        rare = at[~most[at]]
+        if len(rare):
+            both += np.bincount(np.concatenate([owner[ends[v] - counts[v] : ends[v]] for v in rare]), minlength=len(cols))
+        link = (den * both >= num * (len(x) + sizes - both)) & (col_root != names[row_roots[i]])
+        for j in np.flatnonzero(link):
+            yield i, int(j)
+
+
+def _meet(num: int, den: int):
+    def run(key, table):
+        few = table.column("few").to_numpy(zero_copy_only=False)
+        nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
+        row, col = np.flatnonzero(few), np.flatnonzero(~few)
+        parent: dict[bytes, bytes] = {}
+
+        def top(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        if len(row) and len(col):
+            for i, j in meet([sets[k] for k in row], [roots[k] for k in row], [sets[k] for k in col], [roots[k] for k in col], num, den):
+                # one link joins two components for good
+                a, b = top(roots[row[i]]), top(roots[col[j]])
+                if a != b:
+                    parent[a] = b
+                    out.append((nodes[row[i]], nodes[col[j]]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    return run
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, miss: float = MISS) -> DataFrame:
@@ -278,12 +334,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, num: i
     f = _Finder(spark, docs, words, num, den, miss)
     roots = f.components()
     own = f.classes.select("node", "doc_id")
-    if roots is None:
-        named = own.select("node", F.col("doc_id").alias("component_id"))
-    else:
-        joined = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-        least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = joined.join(least, "root").select("node", "component_id")
+    joined = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = joined.join(least, "root").select("node", "component_id")
     rows = f.signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
