@@ -44,7 +44,9 @@ def bigrams(tokens: Text) -> Column:
     """Distinct pairs of neighbouring tokens, joined by a space."""
     t = _col(tokens)
     n = F.size(t)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(t, i), F.try_element_at(t, i + 1)))
+    # neighbours by two slices: a lambda that indexes the array would build it again for each element
+    m = F.greatest(n - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(t, F.lit(1), m), F.slice(t, F.lit(2), m), lambda x, y: F.concat_ws(" ", x, y))
     return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 

@@ -31,16 +31,16 @@ def evidence_spans(records: DataFrame, key: str) -> DataFrame:
     return x.groupBy(key, "text").agg(F.min(F.struct("ord", "scope")).alias("m")).select(key, F.col("m.ord").alias("ord"), F.col("m.scope").alias("scope"), "text")
 
 
-def heuristic_support(claim: Column, evidence: Column, threshold: float = 0.18) -> Column:
-    """Struct of shared, coverage, precision, phrase, score and passed."""
-    ct, et = tokenize(claim), tokenize(evidence)
-    a, b = F.array_distinct(ct), F.array_distinct(et)
-    ab, bb = bigrams(ct), bigrams(et)
-    shared = overlap(a, b)
-    coverage, precision = shared / F.greatest(F.size(a), F.lit(1)), shared / F.greatest(F.size(b), F.lit(1))
-    phrase = F.when(F.size(ab) == 0, F.lit(0.0)).otherwise(overlap(ab, bb) / F.size(ab))
-    score = F.least(F.lit(1.0), 0.55 * coverage + 0.25 * precision + 0.20 * phrase)
-    return F.struct(shared.alias("shared"), coverage.alias("coverage"), precision.alias("precision"), phrase.alias("phrase"), score.alias("score"), ((score >= threshold) & (shared >= 2)).alias("passed"))
+def heuristic_support(pairs: DataFrame, claim: str, evidence: str, threshold: float = 0.18) -> DataFrame:
+    """Adds shared, coverage, prec, phrase, score and passed. Each text is tokenized once: the token arrays are columns of their own."""
+    x = pairs.withColumns({"__c": tokenize(claim), "__e": tokenize(evidence)})
+    x = x.withColumns({"__a": F.array_distinct("__c"), "__b": F.array_distinct("__e"), "__ab": bigrams("__c"), "__bb": bigrams("__e")})
+    x = x.withColumns({"shared": overlap(F.col("__a"), F.col("__b")), "__p": overlap(F.col("__ab"), F.col("__bb")), "__na": F.size("__a"), "__nb": F.size("__b"), "__nab": F.size("__ab")})
+    one = F.lit(1)
+    x = x.withColumns({"coverage": F.col("shared") / F.greatest("__na", one), "prec": F.col("shared") / F.greatest("__nb", one), "phrase": F.when(F.col("__nab") == 0, F.lit(0.0)).otherwise(F.col("__p") / F.greatest("__nab", one))})
+    x = x.withColumn("score", F.least(F.lit(1.0), 0.55 * F.col("coverage") + 0.25 * F.col("prec") + 0.20 * F.col("phrase")))
+    x = x.withColumn("passed", (F.col("score") >= threshold) & (F.col("shared") >= 2))
+    return x.drop("__c", "__e", "__a", "__b", "__ab", "__bb", "__p", "__na", "__nb", "__nab")
 
 
 def related(shared: Column, coverage: Column, precision: Column) -> Column:
@@ -89,11 +89,12 @@ def support_set(members: DataFrame, key: str) -> DataFrame:
     return x.select(key, verdict.alias("verdict"), F.round(conf, 4).alias("confidence"), "n", "n_contradicted", "n_supported", "n_weak")
 
 
-def contradiction_risk(claim: Column, evidence: Column) -> Column:
-    c, e = F.array_distinct(tokenize(claim)), F.array_distinct(tokenize(evidence))
-    shared, hits = overlap(c, e), overlap(e, F.array(*map(F.lit, CUES)))
-    by_overlap = F.when(shared > 0, F.least(F.lit(1.0), hits / shared)).otherwise(0.0)
-    return F.greatest(by_overlap, F.least(F.lit(1.0), hits / 3.0))
+def contradiction_risk(pairs: DataFrame, claim: str, evidence: str) -> DataFrame:
+    """Adds risk: cue words of the evidence against what it shares with the claim."""
+    x = pairs.withColumns({"__c": F.array_distinct(tokenize(claim)), "__e": F.array_distinct(tokenize(evidence))})
+    x = x.withColumns({"__s": overlap(F.col("__c"), F.col("__e")), "__h": overlap(F.col("__e"), F.array(*map(F.lit, CUES)))})
+    by_overlap = F.when(F.col("__s") > 0, F.least(F.lit(1.0), F.col("__h") / F.greatest("__s", F.lit(1)))).otherwise(0.0)
+    return x.withColumn("risk", F.greatest(by_overlap, F.least(F.lit(1.0), F.col("__h") / 3.0))).drop("__c", "__e", "__s", "__h")
 
 
 def fuse(findings: DataFrame, keys: list[str]) -> DataFrame:

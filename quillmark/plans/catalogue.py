@@ -440,8 +440,8 @@ def evidence_spans(spark, sf):
 
 
 _HEUR = f"""
-h AS (SELECT item_id AS query_id, {_tok("text")} AS ct FROM benchmark), t AS ({_ranked("b", 3)}),
-e AS (SELECT query_id, doc_id, ct, {_tok("text")} AS et FROM t JOIN documents USING (doc_id) JOIN h USING (query_id)),
+hq AS (SELECT item_id AS query_id, {_tok("text")} AS ct FROM benchmark), t AS ({_ranked("b", 3)}),
+e AS (SELECT query_id, doc_id, ct, {_tok("text")} AS et FROM t JOIN documents USING (doc_id) JOIN hq USING (query_id)),
 g AS (SELECT query_id, doc_id, list_distinct(ct) AS a, list_distinct(et) AS b, list_distinct(list_transform(generate_series(1, len(ct) - 1), lambda i: ct[i] || ' ' || ct[i + 1])) AS ab,
   list_distinct(list_transform(generate_series(1, len(et) - 1), lambda i: et[i] || ' ' || et[i + 1])) AS bb FROM e),
 v AS (SELECT query_id, doc_id, len(list_intersect(a, b)) AS shared, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(a), 1) AS coverage, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(b), 1) AS prec,
@@ -452,18 +452,18 @@ z AS (SELECT *, least(1.0, 0.55 * coverage + 0.25 * prec + 0.20 * phrase) AS sco
 def _heuristic(spark, sf):
     top = _bm25(spark, sf, 3).select("query_id", "doc_id")
     x = top.join(_docs(spark, sf), "doc_id").join(_claims(spark, sf), "query_id")
-    return x.select("query_id", "doc_id", support.heuristic_support(Q, T).alias("h"))
+    return support.heuristic_support(x, Q, T)
 
 
 @_query("heuristic_support", f"WITH {_BM25}, {_HEUR} SELECT query_id, doc_id, CAST(shared AS INTEGER) AS shared, round(coverage, 4) AS coverage, round(prec, 4) AS prec, round(phrase, 4) AS phrase, round(score, 4) AS score, score >= 0.18 AND shared >= 2 AS passed FROM z")
 def heuristic_support(spark, sf):
-    r = lambda c: F.round(f"h.{c}", 4)
-    return _heuristic(spark, sf).select("query_id", "doc_id", "h.shared", r("coverage").alias("coverage"), r("precision").alias("prec"), r("phrase").alias("phrase"), r("score").alias("score"), "h.passed")
+    r = lambda c: F.round(c, 4).alias(c)
+    return _heuristic(spark, sf).select("query_id", "doc_id", "shared", r("coverage"), r("prec"), r("phrase"), r("score"), "passed")
 
 
 @_query("best_span")
 def best_span(spark, sf):
-    x = _evidence(spark, sf).withColumn("score", F.round(support.heuristic_support(Q, T)["score"], 6))
+    x = support.heuristic_support(_evidence(spark, sf), Q, T).withColumn("score", F.round("score", 6))
     return support.best_span(x, "query_id")
 
 
@@ -538,7 +538,8 @@ _CUE = ", ".join(f"'{c}'" for c in support.CUES)
     SELECT query_id, doc_id, round(greatest(CASE WHEN s > 0 THEN least(1.0, CAST(h AS DOUBLE) / s) ELSE 0 END, least(1.0, h / 3.0)), 6) AS risk FROM n""")
 def contradiction_cues(spark, sf):
     top = _bm25(spark, sf, 3).select("query_id", "doc_id")
-    return top.join(_docs(spark, sf), "doc_id").join(_claims(spark, sf), "query_id").select("query_id", "doc_id", F.round(support.contradiction_risk(Q, T), 6).alias("risk"))
+    x = top.join(_docs(spark, sf), "doc_id").join(_claims(spark, sf), "query_id")
+    return support.contradiction_risk(x, Q, T).select("query_id", "doc_id", F.round("risk", 6).alias("risk"))
 
 
 def _findings(spark, sf):

@@ -48,7 +48,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("cand_id"),
         F.when(kind == 0, F.concat(F.lit("DOI: "), F.upper(F.regexp_replace("doi", "^https://doi.org/", "")))).when(kind == 3, F.concat(F.lit("10.9999/none."), F.col("doc_id").cast("string"))).otherwise("").alias("doi"),
         F.when(kind == 1, F.regexp_replace("arxiv_id", "^arXiv: ", "https://arxiv.org/abs/")).otherwise("").alias("arxiv_id"),
-        F.when(kind == 4, F.concat(F.lit("unknown work "), F.col("doc_id").cast("string"))).otherwise(F.upper("title")).alias("title"),
+        F.when(kind == 4, F.concat(F.lit("unknown work "), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit('"'), "title", F.lit('"!'))).alias("title"),
         (F.col("year") + F.when(F.col("doc_id") % 7 == 0, 3).otherwise(F.col("doc_id") % 2)).cast("int").alias("year"),
         F.slice("authors", 1, 1).alias("authors"),
         F.when(F.col("doc_id") % 6 == 0, "Elsewhere").otherwise(F.col("venue")).alias("venue"),
@@ -59,7 +59,7 @@ CANDIDATES_SQL = f"""
 SELECT doc_id AS cand_id,
   CASE doc_id % 5 WHEN 0 THEN 'DOI: ' || upper(regexp_replace(doi, '^https://doi.org/', '')) WHEN 3 THEN '10.9999/none.' || doc_id ELSE '' END AS doi,
   CASE WHEN doc_id % 5 = 1 THEN regexp_replace(arxiv_id, '^arXiv: ', 'https://arxiv.org/abs/') ELSE '' END AS arxiv_id,
-  CASE WHEN doc_id % 5 = 4 THEN 'unknown work ' || doc_id ELSE upper(title) END AS title,
+  CASE WHEN doc_id % 5 = 4 THEN 'unknown work ' || doc_id ELSE '"' || title || '"!' END AS title,
   CAST(year + CASE WHEN doc_id % 7 = 0 THEN 3 ELSE doc_id % 2 END AS INTEGER) AS year,
   list_slice(authors, 1, 1) AS authors,
   CASE WHEN doc_id % 6 = 0 THEN 'Elsewhere' ELSE venue END AS venue
