@@ -71,12 +71,12 @@ def gbt_reference(c: Text) -> Column:
     text = F.trim(blank(c))
     mark = F.regexp_extract(text, GBT_TYPE, 0)
     kind = F.regexp_extract(text, GBT_TYPE, 1)
-    head = F.trim(F.substring_index(text, mark, 1))
-    tail = F.trim(F.substring(text, F.locate(F.lit("["), text) * 0 + F.length(F.substring_index(text, mark, 1)) + F.length(mark) + 1, F.length(text)))
+    around = F.split(text, GBT_TYPE, 2)
+    head, tail = F.trim(around[0]), F.trim(F.coalesce(F.try_element_at(around, F.lit(2)), F.lit("")))
     dotted = F.contains(head, F.lit(". "))
     first = F.when(dotted, F.substring_index(head, ". ", 1)).otherwise(F.substring_index(head, ".", 1))
     title = F.trim(F.regexp_replace(F.trim(F.substring(head, F.length(first) + F.when(dotted, 3).otherwise(2), F.length(head))), "[.]+$", ""))
-    authors = F.filter(F.transform(F.split(F.trim(first), "[,\\x{FF0C}\\x{3001};\\x{FF1B}]"), F.trim), lambda x: (F.length(x) > 0) & ~F.lower(x).isin("等", "et al", "et al."))
+    authors = F.filter(F.transform(F.split(F.trim(first), "[,\\x{FF0C}\\x{3001};\\x{FF1B}]"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & ~F.lower(x).isin("等", "et al", "et al."))
     rest = F.trim(F.regexp_replace(tail, "^[.]+", ""))
     rest = F.when(rest.startswith("//"), F.trim(F.substring(rest, 3, F.length(rest)))).otherwise(rest)
     parts = F.split(rest, "[,\\x{FF0C}]", 2)

@@ -82,10 +82,10 @@ def support_set(members: DataFrame, key: str) -> DataFrame:
     top = lambda v: F.max(F.when(F.col("verdict") == v, F.col("confidence")))
     x = members.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), n("contradicted").alias("n_contradicted"), n("supported").alias("n_supported"), n("weakly_supported").alias("n_weak"),
-        top("contradicted").alias("c"), top("supported").alias("s"), F.avg(F.when(F.col("verdict") == "weakly_supported", F.col("confidence"))).alias("w"),
+        top("contradicted").alias("__c"), top("supported").alias("__s"), F.avg(F.when(F.col("verdict") == "weakly_supported", F.col("confidence"))).alias("__w"),
     )
     verdict = F.when(F.col("n_contradicted") > 0, "contradicted").when(F.col("n_supported") > 0, "supported").when(F.col("n_weak") > 0, "weakly_supported").otherwise("insufficient_evidence")
-    conf = F.when(F.col("n_contradicted") > 0, F.col("c")).when(F.col("n_supported") > 0, F.col("s")).when(F.col("n_weak") > 0, F.col("w")).otherwise(0.0)
+    conf = F.when(F.col("n_contradicted") > 0, F.col("__c")).when(F.col("n_supported") > 0, F.col("__s")).when(F.col("n_weak") > 0, F.col("__w")).otherwise(0.0)
     return x.select(key, verdict.alias("verdict"), F.round(conf, 4).alias("confidence"), "n", "n_contradicted", "n_supported", "n_weak")
 
 
