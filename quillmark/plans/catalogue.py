@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.functions import ident, text
+from quillmark.functions import cite, ident, text
 from quillmark.operators import audit, cachetab, evaluate, extract, retrieve, similarity, support
 from quillmark.sources import adapters as A
 from quillmark.streaming import sessions
@@ -409,6 +409,31 @@ def confidence_caps(spark, sf):
     return x.select("idx", audit.confidence(F.col("verdict"), F.col("score"), F.col("mode")).alias("confidence"))
 
 
+_LEAD = "list_last(string_split(trim(authors[1]), ' '))"
+
+
+@_query(
+    "format_citations",
+    f"""SELECT doc_id, '(' || {_LEAD} || ', ' || year || ')' AS inline, array_to_string(authors, ', ') || ' (' || year || '). ' || title || '.' || CASE WHEN venue <> '' THEN ' ' || venue || '.' ELSE '' END AS reference,
+    '@article{{' || lower({_LEAD}) || year || lower(CASE WHEN regexp_extract(title, '[A-Za-z0-9]+', 0) = '' THEN 'record' ELSE regexp_extract(title, '[A-Za-z0-9]+', 0) END) AS entry_key,
+    array_to_string(authors, ', ') || '. ' || title || CASE WHEN venue <> '' THEN '[J]. ' || venue || ', ' || year ELSE '[EB/OL], ' || year END || '. DOI: ' || doi || '.' AS gbt FROM ({A.CORPUS_SQL})""",
+)
+def format_citations(spark, sf):
+    a, y, t, v, d = (F.col(c) for c in ("authors", "year", "title", "venue", "doi"))
+    entry = cite.bibtex(a, y, t, v, d, F.lit(""))
+    return A.corpus(spark, sf).select("doc_id", cite.inline(a, y, t).alias("inline"), cite.reference(a, y, t, v).alias("reference"), F.substring_index(entry, ",", 1).alias("entry_key"), cite.gbt7714(a, y, t, v, d, F.lit("")).alias("gbt"))
+
+
+@_query(
+    "page_urls",
+    """SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_matches(url, '^https?://[^/]') AND NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)') AS allowed FROM pages""",
+)
+def page_urls(spark, sf):
+    from quillmark.sources import readers
+
+    return A.table(spark, sf, "pages").select("page_id", F.try_parse_url(F.col("url"), F.lit("HOST")).alias("host"), readers.allowed_url(F.col("url")).alias("allowed"))
+
+
 # ---- similarity (no SQL counterpart) ----------------------------------------------------------------------------
 
 
