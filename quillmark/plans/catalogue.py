@@ -752,8 +752,14 @@ def reference_lines(spark, sf):
     return extract.explode_with(_bibliography(spark, sf, "md"), "doc_id", "text", extract.reference_lines, "raw_text string")
 
 
-@_query("stream_sessions")
+@_query(
+    "stream_sessions",
+    """WITH e AS (SELECT *, lag(ts) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n_events FROM s GROUP BY user_id, k
+    HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
 def stream_sessions(spark, sf):
-    return sessions.run_once(sessions.sessions(sessions.events_stream(spark, sf)), "sessions")
-
-
+    """Sessions that the final watermark has closed; those still open are not emitted."""
+    out = sessions.run_once(sessions.sessions(sessions.events_stream(spark, sf)), "sessions")
+    return out.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n_events")
