@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import cite, ident, text
-from quillmark.operators import audit, cachetab, evaluate, extract, retrieve, similarity, support
+from quillmark.operators import audit, cachetab, evaluate, extract, labels, retrieve, similarity, support
 from quillmark.sources import adapters as A
+from quillmark.sources import readers
 from quillmark.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,8 +430,6 @@ def format_citations(spark, sf):
     """SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_matches(url, '^https?://[^/]') AND NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)') AS allowed FROM pages""",
 )
 def page_urls(spark, sf):
-    from quillmark.sources import readers
-
     return A.table(spark, sf, "pages").select("page_id", F.try_parse_url(F.col("url"), F.lit("HOST")).alias("host"), readers.allowed_url(F.col("url")).alias("allowed"))
 
 
@@ -763,3 +762,81 @@ def stream_sessions(spark, sf):
     """Sessions that the final watermark has closed; those still open are not emitted."""
     out = sessions.run_once(sessions.sessions(sessions.events_stream(spark, sf)), "sessions")
     return out.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n_events")
+
+
+# ---- label provenance ----------------------------------------------------------------------------------------------
+
+
+def _sidecar(spark, sf):
+    """Two annotators for half of the cases, one for a quarter, none for the rest."""
+    j = A.judged(spark, sf)
+    k = F.col("case_id")
+    who = F.when(k % 4 < 2, F.array(F.lit("x"), F.lit("y"))).when(k % 4 == 2, F.array(F.lit("x")))
+    label = F.when((F.col("annotator") == "y") & (k % 8 == 1), F.col("pred")).otherwise(F.col("gold"))
+    return j.select("case_id", "gold", "pred", F.explode(who).alias("annotator")).select("case_id", "annotator", label.alias("label"))
+
+
+_ANNOTATED = f"""{_J}, a AS (SELECT case_id, annotator, CASE WHEN annotator = 'y' AND case_id % 8 = 1 THEN pred ELSE gold END AS label
+  FROM (SELECT case_id, gold, pred, unnest(CASE WHEN case_id % 4 < 2 THEN ['x', 'y'] WHEN case_id % 4 = 2 THEN ['x'] ELSE [] END) AS annotator FROM j)),
+m AS (SELECT case_id, count(*) AS annotators, CASE WHEN count(*) = 1 THEN 'single_annotator' WHEN count(DISTINCT label) = 1 THEN 'dual_annotator_agreed' ELSE 'conflict' END AS status,
+  CASE WHEN count(DISTINCT label) = 1 THEN min(label) END AS label, min(label) || '/' || max(label) AS seen FROM a GROUP BY case_id)"""
+
+
+def _merged(spark, sf):
+    return labels.merged(_sidecar(spark, sf))
+
+
+@_query("annotation_merge", f"WITH {_ANNOTATED} SELECT * FROM m")
+def annotation_merge(spark, sf):
+    return _merged(spark, sf)
+
+
+_SETTLED = f"""{_ANNOTATED}, d AS (SELECT m.case_id, annotators, CASE WHEN status = 'conflict' AND m.case_id % 3 <> 0 THEN 'dual_annotator_adjudicated' ELSE status END AS status, CASE WHEN status = 'conflict' AND m.case_id % 3 <> 0 THEN gold ELSE m.label END AS label FROM m JOIN j ON m.case_id = j.case_id)"""
+
+
+def _settled(spark, sf):
+    decisions = A.judged(spark, sf).select("case_id", F.when(F.col("case_id") % 3 != 0, F.col("gold")).alias("label"), "gold")
+    return labels.adjudicated(_merged(spark, sf), decisions)
+
+
+@_query("adjudication", f"WITH {_SETTLED} SELECT * FROM d")
+def adjudication(spark, sf):
+    return _settled(spark, sf)
+
+
+_LABELLED = f"{_SETTLED}, l AS (SELECT j.*, coalesce(d.status, 'not_human_reviewed') AS status FROM j LEFT JOIN d USING (case_id))"
+
+
+def _labelled(spark, sf):
+    return labels.with_sidecar(A.judged(spark, sf), _settled(spark, sf).select("case_id", "status", "annotators"))
+
+
+_MATURITY = f"""mt AS (SELECT count(*) AS n, {_n("status = 'not_human_reviewed'")} AS unreviewed, {_n("status = 'single_annotator'")} AS single, {_n("status IN ('dual_annotator_agreed', 'dual_annotator_adjudicated')")} AS dual,
+  {_share(_n("status <> 'not_human_reviewed'"), "count(*)")} AS reviewed_rate, {_share(_n("status = 'dual_annotator_agreed'"), _n("status IN ('dual_annotator_agreed', 'dual_annotator_adjudicated')"))} AS agreement_rate FROM l)"""
+
+
+@_query("review_maturity", f"WITH {_LABELLED}, {_MATURITY} SELECT * FROM mt")
+def review_maturity(spark, sf):
+    return labels.maturity(_labelled(spark, sf))
+
+
+@_query("review_coverage", f"WITH {_LABELLED} SELECT lang, case_type, count(*) AS n, {_n(chr(115) + 'tatus <> ' + chr(39) + 'not_human_reviewed' + chr(39))} AS reviewed, round(CAST({_n('status <> ' + chr(39) + 'not_human_reviewed' + chr(39))} AS DOUBLE) / count(*), 4) AS rate FROM l GROUP BY ALL")
+def review_coverage(spark, sf):
+    return labels.coverage(_labelled(spark, sf))
+
+
+@_query("label_gate", f"WITH {_LABELLED}, {_MATURITY} SELECT concat_ws(',', CASE WHEN reviewed_rate < 0.8 THEN 'reviewed_rate' END, CASE WHEN agreement_rate < 0.9 THEN 'agreement_rate' END, CASE WHEN dual < 10 THEN 'dual' END) AS failed, reviewed_rate >= 0.8 AND agreement_rate >= 0.9 AND dual >= 10 AS passed FROM mt")
+def label_gate(spark, sf):
+    return labels.gate(labels.maturity(_labelled(spark, sf)), {"reviewed_rate": 0.8, "agreement_rate": 0.9, "dual": 10})
+
+
+@_query("dataset_validation", f"WITH {_J} SELECT 'duplicate_case_id' AS problem, CAST(case_id AS VARCHAR) AS value FROM j GROUP BY case_id HAVING count(*) > 1 UNION ALL SELECT 'missing_case_type', v FROM (SELECT unnest(['direct', 'weak', 'unrelated', 'metadata_only']) AS v) WHERE v NOT IN (SELECT case_type FROM j) UNION ALL SELECT 'missing_lang', v FROM (SELECT unnest(['en', 'zh']) AS v) WHERE v NOT IN (SELECT lang FROM j)")
+def dataset_validation(spark, sf):
+    return labels.validation(A.judged(spark, sf), "case_id", {"case_type": ("direct", "weak", "unrelated", "metadata_only"), "lang": ("en", "zh")})
+
+
+@_query("source_health", "WITH c AS (SELECT event_type AS source, CASE WHEN user_id % 5 = 0 THEN 429 WHEN user_id % 7 = 0 THEN 503 ELSE 200 END AS code, CAST(user_id % 90 AS DOUBLE) AS ra FROM events), g AS (SELECT source, count(*) AS calls, count(*) FILTER (code >= 400) AS failures, count(*) FILTER (code = 429) AS rate_limited, max(ra) AS retry_after FROM c GROUP BY source) SELECT *, CASE WHEN failures = 0 THEN 'available' WHEN failures = calls THEN 'unavailable' WHEN rate_limited * 2 > failures THEN 'rate_limited' ELSE 'degraded' END AS status FROM g")
+def source_health(spark, sf):
+    u = F.col("user_id")
+    calls = A.table(spark, sf, "events").select(F.col("event_type").alias("source"), F.when(u % 5 == 0, 429).when(u % 7 == 0, 503).otherwise(200).alias("status_code"), (u % 90).cast("double").alias("retry_after"))
+    return labels.source_health(calls)
