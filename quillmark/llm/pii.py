@@ -6,7 +6,8 @@
    and instances (the token's core) form a bipartite graph, one weighted edge for each pair.
 3. Rounds of scoring: a pattern scores the share of its occurrences, among *all* places of the corpus where its words
    stand before any token, that lead to instances believed in; an instance that is no seed is believed as much as at
-   least one of its patterns is right. Patterns need MIN_SEEDS different seed instances.
+   least one of its patterns is right. Patterns need MIN_SEEDS different seed instances, and those that could not reach
+   the confidence if all their instances were believed in take no part.
 4. Occurrences behind patterns of at least ``confidence`` become spans of kind ``id``, whatever their format.
 
 Rows are told apart by a row number, so repeated doc_ids are rows of their own. Null and empty texts have no spans.
@@ -112,7 +113,15 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return x.where(~inside).select("row", "start", "end", "core", "left", (F.size("m") > 0).alias("seed"))
 
 
-def learn_patterns(work: Scratch, occurrences: DataFrame, texts: DataFrame, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS) -> DataFrame:
+def _places(texts: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
+    """(left, places): how often two words in a row are a pattern and have a word after them."""
+    pairs = texts.select(F.expr(r"split(lower(__text), r'\s+')").alias("w"))
+    pairs = pairs.select(F.explode(F.expr("zip_with(slice(w, 1, greatest(size(w) - 2, 0)), slice(w, 2, greatest(size(w) - 2, 0)), (a, b) -> concat(a, ' ', b))")).alias("left"))
+    wanted = F.broadcast(patterns.select("left")) if n <= BROADCAST_PATTERNS else patterns.select("left")
+    return pairs.join(wanted, "left", "left_semi").groupBy("left").agg(F.count(F.lit(1)).alias("places"))
+
+
+def learn_patterns(work: Scratch, occurrences: DataFrame, texts: DataFrame, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
     """(left, score): patterns with enough seeds, scored over the graph of patterns and instances."""
     edges = occurrences.groupBy("left", "core").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     edges = work.write(edges, "edges")
@@ -121,16 +130,19 @@ def learn_patterns(work: Scratch, occurrences: DataFrame, texts: DataFrame, min_
     n = able.count()
     if n == 0:
         return able.select("left", F.lit(0.0).alias("score"))
-    # how often the words of a pattern stand before a token of any sort, in all texts
-    pairs = texts.select(F.expr(r"split(lower(__text), r'\s+')").alias("w"))
-    pairs = pairs.select(F.explode(F.expr("zip_with(slice(w, 1, greatest(size(w) - 2, 0)), slice(w, 2, greatest(size(w) - 2, 0)), (a, b) -> concat(a, ' ', b))")).alias("left"))
-    wanted = F.broadcast(able.select("left")) if n <= BROADCAST_PATTERNS else able.select("left")
-    totals = work.write(pairs.join(wanted, "left", "left_semi").groupBy("left").agg(F.count(F.lit(1)).alias("places")), "totals")
-    ends = occurrences.join(wanted, "left", "left_semi").groupBy("left").agg(F.count(F.lit(1)).alias("hits"))
+    able = work.write(able.join(occurrences.groupBy("left").agg(F.count(F.lit(1)).alias("hits")), "left"), "hits")
+    # how often the words of a pattern stand before a token of any sort: where the texts with identifiers alone rule
+    # out that it reaches the confidence, all texts need not be asked
+    some = F.col("__text").rlike("[0-9@]")
+    for part in (texts.where(some), texts):
+        places = work.write(_places(part, able, n), "places")
+        room = F.col("kinds") / F.col("hits") * F.greatest(F.coalesce("places", "hits"), "hits")
+        able = work.write(able.drop("room").join(places, "left", "left").withColumn("room", room).drop("places").where(F.col("kinds") >= confidence * (F.col("room") + 1)), "able")
+        n = able.count()
+        if n == 0:
+            return able.select("left", F.lit(0.0).alias("score"))
+    size = able.select("left", "room")
     graph = work.write(edges.join(able.select("left"), "left", "left_semi"), "graph")
-    size = able.select("left", "kinds").join(totals, "left", "left").join(ends, "left", "left")
-    # of the places: those that lead to an occurrence, each instance counted once
-    size = work.write(size.select("left", (F.col("kinds") / F.greatest(F.col("hits"), F.lit(1)) * F.greatest(F.coalesce("places", "hits"), "hits")).alias("room")), "room")
     belief = graph.select("core", F.col("seed").cast("double").alias("belief")).groupBy("core").agg(F.max("belief").alias("belief"))
     score = None
     for _ in range(rounds):
@@ -149,7 +161,7 @@ def annotate(spark: SparkSession, docs: DataFrame, keep: list[str], confidence:
     marked = work.write(_found(rows).drop(*([] if with_text else ["__text"])), "marked")
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     occurrences = work.write(_occurrences(marked), "occurrences")
-    patterns = learn_patterns(work, occurrences, texts, min_seeds).where(F.col("score") >= confidence).select("left")
+    patterns = learn_patterns(work, occurrences, texts, min_seeds, confidence=confidence).where(F.col("score") >= confidence).select("left")
     new = occurrences.where(~F.col("seed")).join(patterns, "left", "left_semi")
     new = new.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("found"))
     new = work.write(new, "found")
