@@ -30,7 +30,7 @@ from quillmark.llm.scratch import Scratch
 BLOCK_CHARS = 65_536
 HYPER = 4_096
 ALPHA = 0.7
-PART_ROWS = 20_000
+PART_ROWS = 4_000
 #: Slots whose documents are numbered together.
 SLOTS = 16
 
