@@ -1,11 +1,12 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One 5-gram model per language over words padded at both ends. The corpus is counted in Spark (each
-partition sums its distinct words first, so a shuffle carries n-grams, not text); smoothing runs on
-the counted n-grams. The models live in one sorted array of packed n-grams per order, with a column
-of log probabilities for each language; a character is scored by one binary search in most cases and
-backs off only where its n-gram was never seen in any language. A text gets the language of lowest
-cross-entropy per character, over the whole text; each distinct word is scored once per worker.
+partition sums its distinct words first, so a shuffle carries n-grams, not text), and smoothed in
+Spark, all n-grams of all languages. The models are sorted arrays of packed n-grams, in ranges, each
+n-gram with the log probabilities of the languages that have it. The ranges are files in the shared
+folder, which workers map into memory (or read, where the folder is not a local path); the driver
+holds a line for each range and no n-gram. A text gets the language of lowest cross-entropy per
+character, over the whole text; each distinct word is scored once per worker, by binary searches.
 
 Rejection is calibrated on labelled texts that were not counted. Per language they give the mean
 cross-entropy of its own texts, that of the best wrong language, and the spread of the former (which
@@ -20,6 +21,7 @@ table, or no labelled rows, nothing is learned and every text is ``und``. Extra
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,19 +30,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillmark.llm.scratch import Scratch
 
 ORDER = 5
 BITS = 12
 START, END = 1, 2
 DISCOUNT = 0.75
-#: Bounds of what is broadcast: n-grams kept per language (the most frequent), and languages (the most frequent).
-MAX_GRAMS, MAX_LANGS = 400_000, 64
 #: Rows on which the rejection is calibrated, at most.
 CALIBRATION_ROWS = 8_000
 REJECT_Z, REJECT_SHARE = 6.0, 0.75
 #: Sharpness of the posterior over languages, per character of cross-entropy, up to so many characters.
 SHARPNESS_CHARS = 40
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_CHARS = 48
+#: Numbers (words times languages) that a worker keeps of words it scored, and that it works on at once.
+CACHE_CELLS, WORK_CELLS = 2_000_000, 4_000_000
 
 RESULT = ("lang_pred", "score", "cross_entropy", "rejected")
 
@@ -111,7 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """langs; per order (1 to ORDER) sorted packed n-grams with log probabilities, and sorted contexts with log back-off weights; per language the calibrated mean and spread of own cross-entropies and the mean of the best wrong language."""
+    """langs; per order (1 to ORDER) sorted packed n-grams with log probabilities, and sorted contexts with log back-off weights, in arrays or in ``ranges`` of files; per language the calibrated mean and spread of own cross-entropies and the mean of the best wrong language."""
 
     langs: list[str] = field(default_factory=list)
     grams: list[np.ndarray] = field(default_factory=list)
@@ -122,6 +127,8 @@ class Model:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     wrong: np.ndarray | None = None
+    #: (part, first key, keys, entries, URI) in order; part 2k - 2 has the n-grams of order k, 2k - 1 their contexts.
+    ranges: list[tuple[int, int, int, int, str]] = field(default_factory=list)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +140,7 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimate(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT) -> Model:
-    """Interpolated Kneser-Ney: full counts at the highest order, numbers of distinct left neighbours below it."""
+    """Interpolated Kneser-Ney in arrays: full counts at the highest order, numbers of distinct left neighbours below it. ``estimate_ranges`` does the same in Spark."""
     m = Model(langs)
     if not langs:
         return m
@@ -191,15 +198,145 @@ def score_words(m: Model, words: list[str]) -> np.ndarray:
     return out
 
 
+def _write_ranges(root: str, langs: list[str]):
+    """One file for each part in a partition: keys, offsets of their entries, languages and values of the entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+        from pyarrow import fs
+
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
+            return
+        t = pa.Table.from_batches(batches)
+        store, base = fs.FileSystem.from_uri(root)
+        part, gram, v = (t.column(c).to_numpy() for c in ("part", "gram", "v"))
+        code = pc.index_in(t.column("lang"), value_set=pa.array(langs, pa.string())).to_numpy()
+        rows = []
+        for p in np.unique(part):
+            lo, hi = np.searchsorted(part, p), np.searchsorted(part, p, "right")
+            keys, start = np.unique(gram[lo:hi], return_index=True)
+            name = f"{uuid.uuid4().hex}.bin"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                for array, kind in ((keys, np.int64), (np.append(start, hi - lo), np.int64), (code[lo:hi], np.int32), (v[lo:hi], np.float32)):
+                    out.write(array.astype(kind).tobytes())
+            rows.append((int(p), int(keys[0]), len(keys), int(hi - lo), f"{root}/{name}"))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["part", "first", "n_keys", "n_entries", "uri"])
+
+    return run
+
+
+def estimate_ranges(spark: SparkSession, langs: list[str], counts: DataFrame, discount: float = DISCOUNT) -> Model:
+    """The same as ``estimate``, of (lang, gram, n) in Spark, into files."""
+    from pyarrow import fs
+
+    m = Model(langs)
+    work = Scratch(spark, "language-models")
+    keep = lambda k: F.lit((1 << (BITS * k)) - 1).cast("long")
+    levels = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = levels[k + 1].select("lang", F.col("gram").bitwiseAND(keep(k)).alias("gram"))
+        levels[k] = work.write(shorter.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "counts")
+    alphabet = levels[1].select("gram").distinct().count()
+    m.unseen = float(-np.log(alphabet + 1))
+    parts, lower = [], None
+    of_context = Window.partitionBy("lang", "context")
+    for k in range(1, ORDER + 1):
+        x = levels[k].withColumn("context", F.shiftright("gram", BITS))
+        x = x.withColumn("total", F.sum("n").over(of_context)).withColumn("gamma", discount * F.count(F.lit(1)).over(of_context) / F.col("total"))
+        if k == 1:
+            x = x.withColumn("lower", F.lit(float(np.exp(m.unseen))))
+        else:
+            x = x.withColumn("suffix", F.col("gram").bitwiseAND(keep(k - 1))).join(lower, ["lang", "suffix"])
+        p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("lower")
+        x = work.write(x.select("lang", "gram", "context", "gamma", p.alias("p")), "smoothed")
+        lower = x.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        parts.append(x.select(F.lit(2 * k - 2).alias("part"), "gram", "lang", F.log("p").alias("v")))
+        parts.append(x.groupBy("lang", "context").agg(F.first("gamma").alias("gamma")).select(F.lit(2 * k - 1).alias("part"), F.col("context").alias("gram"), "lang", F.log("gamma").alias("v")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = work.write(every, "entries")
+    root = work.path("ranges")
+    store, base = fs.FileSystem.from_uri(root)
+    store.create_dir(base, recursive=True)
+    placed = every.repartitionByRange("part", "gram").sortWithinPartitions("part", "gram")
+    written = placed.mapInArrow(_write_ranges(root, langs), "part int, first long, n_keys long, n_entries long, uri string").collect()
+    m.ranges = sorted(tuple(r) for r in written)
+    for df in (*(levels[k] for k in range(1, ORDER)), every):
+        work.drop(df)
+    return m
+
+
+class Ranges:
+    """The files of a model, opened when they are asked for."""
+
+    def __init__(self, model: Model):
+        self.unseen, self.n_langs, self.open = model.unseen, len(model.langs), {}
+        self.parts = {p: [r for r in model.ranges if r[0] == p] for p in range(2 * ORDER)}
+        self.firsts = {p: np.array([r[1] for r in rows], dtype=np.int64) for p, rows in self.parts.items()}
+
+    def _arrays(self, part: int, i: int) -> tuple[np.ndarray, ...]:
+        if (part, i) not in self.open:
+            from pyarrow import fs
+
+            _, _, keys, entries, uri = self.parts[part][i]
+            store, path = fs.FileSystem.from_uri(uri)
+            if isinstance(store, fs.LocalFileSystem):
+                data = pa.memory_map(path).read_buffer()
+            else:
+                with store.open_input_file(path) as f:
+                    data = f.read_buffer()
+            at = 8 * (2 * keys + 1)
+            self.open[part, i] = (np.frombuffer(data, np.int64, keys), np.frombuffer(data, np.int64, keys + 1, 8 * keys), np.frombuffer(data, np.int32, entries, at), np.frombuffer(data, np.float32, entries, at + 4 * entries))
+        return self.open[part, i]
+
+    def find(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the key, language, value) of all entries of the keys."""
+        out = []
+        which = np.searchsorted(self.firsts[part], keys, "right") - 1
+        for i in np.unique(which[which >= 0]):
+            table, starts, codes, values = self._arrays(part, int(i))
+            rows = np.flatnonzero(which == i)
+            at, found = _find(table, keys[rows])
+            rows, at = rows[found], at[found]
+            sizes = starts[at + 1] - starts[at]
+            entry = np.repeat(starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            out.append((np.repeat(rows, sizes), codes[entry], values[entry]))
+        if not out:
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Log probability of each padded word under each language: from the lowest order up, what a language lacks is backed off to."""
+        lots, size = [], max(1, WORK_CELLS // (16 * self.n_langs))
+        for lo in range(0, len(words), size):
+            part = words[lo : lo + size]
+            key, owner = grams_of(part)
+            key, back = np.unique(key, return_inverse=True)
+            p = np.full((len(key), self.n_langs), self.unseen)
+            for k in range(1, ORDER + 1):
+                now, same = np.unique(key & ((1 << (BITS * k)) - 1), return_inverse=True)
+                weight, own = np.zeros((len(now), self.n_langs)), np.full((len(now), self.n_langs), np.nan)
+                rows, langs, v = self.find(2 * k - 1, now >> BITS)
+                weight[rows, langs] = v
+                rows, langs, v = self.find(2 * k - 2, now)
+                own[rows, langs] = v
+                own = own[same]
+                p = np.where(np.isnan(own), p + weight[same], own)
+            lots.append(np.stack([np.bincount(owner, weights=p[back, j], minlength=len(part)) for j in range(self.n_langs)], axis=1))
+        return np.concatenate(lots) if lots else np.zeros((0, self.n_langs))
+
+
 class Scorer:
     """Whole texts to (sum of log probabilities per language, number of scored characters)."""
 
     def __init__(self, model: Model):
-        self.m, self.index, self.table = model, {}, np.zeros((0, len(model.langs) + 1))
+        self.m, self.index, self.table, self.ranges = model, {}, np.zeros((0, len(model.langs) + 1)), Ranges(model)
 
     def batch(self, texts: list[str]) -> np.ndarray:
         split = [t.lower().split() for t in texts]
-        if len(self.index) > CACHE_WORDS:
+        if self.table.size > CACHE_CELLS:
             self.index, self.table = {}, self.table[:0]
         seen = set()
         for ws in split:
@@ -213,7 +350,7 @@ class Scorer:
                     owner.append(i)
             rows = np.zeros((len(new), len(self.m.langs) + 1))
             if parts:
-                scores = score_words(self.m, parts)
+                scores = self.ranges.score_words(parts)
                 for j in range(len(self.m.langs)):
                     rows[:, j] = np.bincount(owner, weights=scores[:, j], minlength=len(new))
                 rows[:, -1] = np.bincount(owner, weights=[len(w) + 1 for w in parts], minlength=len(new))
@@ -262,34 +399,15 @@ def _entropies(model):
     return run
 
 
-def learn(spark: SparkSession, docs: DataFrame, usable: Column, held_back: Column, max_grams: int = MAX_GRAMS) -> Model:
+def learn(spark: SparkSession, docs: DataFrame, usable: Column, held_back: Column) -> Model:
     """Counts all rows of ``usable`` that are not ``held_back``; calibrates on at most CALIBRATION_ROWS of those that are."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    known = known.where(F.col("lang").isin(langs))
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    if not langs:
+        return Model()
     counted = known.where(~held_back).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
-    summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # The most frequent n-grams of each language, whole frequency classes at a time.
-    classed = summed.withColumn("class", F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int"))
-    sizes = classed.groupBy("lang", "class").count().collect()
-    keep = F.lit(False)
-    for lang in langs:
-        room, least = max_grams, 0
-        for c, n in sorted(((r["class"], r["count"]) for r in sizes if r["lang"] == lang), reverse=True):
-            room -= n
-            if room < 0:
-                least = c + 1
-                break
-        keep = keep | ((F.col("lang") == lang) & (F.col("class") >= least))
-    table = classed.where(keep).select("lang", "gram", "n").toArrow()
-    names = np.array(table.column("lang").to_pylist(), dtype=object)
-    grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    counts = []
-    for lang in sorted(langs):
-        mine = names == lang
-        order = np.argsort(grams[mine])
-        counts.append((grams[mine][order], n[mine][order]))
-    m = estimate(sorted(langs), counts)
+    counts = Scratch(spark, "language-counts").write(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "sums")
+    m = estimate_ranges(spark, langs, counts)
     return calibrate(spark, m, known.where(held_back))
 
 

@@ -78,6 +78,22 @@ def test_langid_probabilities_sum_to_one():
         assert 0.9 < total <= 1.0001  # the rest is left for characters that were never seen
 
 
+def test_langid_keeps_all_ngrams_and_languages(spark):
+    rng = random.Random(11)
+    words = {f"l{i:02d}": ["".join(rng.choice("abcdefgh" + chr(0x3B1 + i % 20)) for _ in range(rng.randint(1, 7))) for _ in range(12)] for i in range(70)}
+    rows = [(i, " ".join(ws), lang, "s") for i, (lang, ws) in enumerate(words.items())]
+    m = langid.learn(spark, documents(spark, rows), F.lit(True), F.lit(False))
+    assert m.langs == sorted(words)  # more than the 64 that were kept before
+    counts = []
+    for lang in m.langs:
+        grams, owner = langid.grams_of(words[lang])
+        counts.append(np.unique(grams, return_counts=True))
+    exact = langid.estimate(m.langs, counts)
+    ask = [*words["l03"], *words["l69"], "zzz", "αβγ", "a"]
+    np.testing.assert_allclose(langid.Ranges(m).score_words(ask), langid.score_words(exact, ask), atol=1e-4)
+    assert sum(r[3] for r in m.ranges if r[0] == 2 * langid.ORDER - 2) == sum(len(g) for g, _ in counts)
+
+
 def test_langid_empty(spark):
     assert langid.identify(spark, empty(spark)).count() == 0
 
