@@ -1,7 +1,7 @@
 """Ratcliff/Obershelp similarity and the blocked joins that need it.
 
-Spark has no such function, so the ratio is a Pandas UDF over Arrow batches; it only sees pairs that share a rare token of
-the normalised strings and pass two upper bounds in native expressions (lengths, then shared characters).
+Spark has no such function, so the ratio is a Pandas UDF over Arrow batches; it only sees pairs of distinct normalised
+strings that pass two bounds which no qualifying pair fails (lengths, then shared characters or pairs of characters).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from quillmark.functions.text import normalize_text, tokenize
+from quillmark.functions.text import normalize_text
 
 
 @F.pandas_udf(DoubleType())
@@ -31,22 +31,81 @@ def length_bound(a: Column, b: Column) -> Column:
     return 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
-def blocked_pairs(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str, least: float, most_common: int | None = None) -> DataFrame:
-    """(lkey, rkey, ltext, rtext, score) of pairs with a ratio of at least ``least`` that share a token.
+def _grams(q: int):
+    """The q-grams of a string, each with its number, so that equal multisets are equal sets."""
 
-    ``most_common`` leaves out tokens with more records than that from the blocking; such pairs then need another token.
+    @F.pandas_udf("array<string>")
+    def grams(texts: pd.Series) -> pd.Series:
+        def of(t: str) -> list[str]:
+            seen: dict[str, int] = {}
+            out = []
+            for i in range(len(t) - q + 1):
+                g = t[i : i + q]
+                seen[g] = seen.get(g, 0) + 1
+                out.append(f"{g}{seen[g]}")
+            return out
+
+        return texts.map(of)
+
+    return grams
+
+
+def _needed(least: float, q: int, total: Column) -> Column:
+    """Shared q-grams that a ratio of ``least`` needs, of two lengths that add up to ``total``.
+
+    The ratio is 2M / total, for M matching characters. They are shared characters; in pairs of neighbours, all but one
+    for each run of them count, and between two runs one of the other total - 2M characters stands at least.
     """
+    rate = least / 2 if q == 1 else 1.5 * least - 1
+    return F.ceil(F.lit(rate) * total - (q - 1) - 1e-6)
+
+
+def blocked_pairs(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str, least: float) -> DataFrame:
+    """(lkey, rkey, ltext, rtext, score) of all pairs with a ratio of at least ``least`` (above 0).
+
+    Distinct normalised strings are compared once. Of two strings that need n shared grams, the first len - n + 1 in one
+    order of all grams, the rarest first, have one in common, so a join on those loses no pair. Grams are
+    characters, or pairs of them where the threshold leaves enough to share.
+    """
+    q = 2 if least >= 0.8 else 1
     a = left.select(lkey, F.col(ltext).alias("__a"), normalize_text(ltext).alias("__na"))
     b = right.select(rkey, F.col(rtext).alias("__b"), normalize_text(rtext).alias("__nb"))
-    post = b.select(rkey, F.explode(F.array_distinct(tokenize("__b"))).alias("token"))
-    if most_common:
-        df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most_common).select("token")
-        post = post.join(df, "token", "left_semi")
-    ask = a.select(lkey, F.explode(F.array_distinct(tokenize("__a"))).alias("token"))
-    ids = ask.join(post, "token").select(lkey, rkey).distinct()
-    x = ids.join(a, lkey).join(b, rkey).where(length_bound(F.col("__na"), F.col("__nb")) >= least)
+    texts = {side: x.select(F.col(name).alias("t")).where(F.length("t") > 0).distinct().withColumn("g", _grams(q)("t")) for side, x, name in (("a", a, "__na"), ("b", b, "__nb"))}
+    n = F.length("t")
+    # the shorter of the two has at least this share of the other's length
+    fewest = _needed(least, q, n * (1 + least / (2 - least)))
+    df = texts["a"].unionByName(texts["b"]).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefixes(x: DataFrame) -> DataFrame:
+        each = x.select("t", n.alias("n"), fewest.alias("least"), F.size("g").alias("size"), F.explode("g").alias("gram")).join(df, "gram")
+        ordered = each.groupBy("t", "n", "least", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
+        first = F.slice("o", F.lit(1), F.greatest(F.col("size") - F.greatest("least", F.lit(1)) + 1, F.lit(0)).cast("int"))
+        return ordered.select("t", "n", F.explode(first).alias("x")).select("t", "n", "x.gram")
+
+    # strings that need no shared gram are met by all of a fitting length
+    free = lambda x: x.where(fewest < 1).select("t", n.alias("n"))
+    fits = lambda x, y: 2.0 * F.least(x, y) / (x + y) >= least - 1e-9
+    pa, pb = prefixes(texts["a"]).withColumnsRenamed({"t": "__na", "n": "la"}), prefixes(texts["b"]).withColumnsRenamed({"t": "__nb", "n": "lb"})
+    met = pa.join(pb, "gram").where(fits(F.col("la"), F.col("lb"))).select("__na", "__nb")
+    every = {side: texts[side].select(F.col("t").alias(f"__n{side}"), n.alias(f"l{side}")) for side in "ab"}
+    for one, other in (("a", "b"), ("b", "a")):
+        some = free(texts[one]).withColumnsRenamed({"t": f"__n{one}", "n": f"l{one}"})
+        met = met.unionByName(some.join(every[other], fits(F.col("la"), F.col("lb"))).select("__na", "__nb"))
+    met = met.distinct()
+    x = met.join(texts["a"].select(F.col("t").alias("__na"), F.col("g").alias("ga")), "__na").join(texts["b"].select(F.col("t").alias("__nb"), F.col("g").alias("gb")), "__nb")
+    x = x.where(F.size(F.array_intersect("ga", "gb")) >= _needed(least, q, F.length("__na") + F.length("__nb"))).select("__na", "__nb")
     scored = x.withColumn("score", _ratio("__na", "__nb")).where(F.col("score") >= least)
-    return scored.select(lkey, rkey, F.col("__a").alias(ltext), F.col("__b").alias(rtext), "score")
+    return scored.join(a, "__na").join(b, "__nb").select(lkey, rkey, F.col("__a").alias(ltext), F.col("__b").alias(rtext), "score")
+
+
+def best_others(items: DataFrame, key: str, text: str, rkey: str, rtext: str, least: float, k: int) -> DataFrame:
+    """The k best other items of each item by ``blocked_pairs``, ties to the smaller key. Of the items of one text only the k + 1 smallest can be among them."""
+    names = items.select(text).distinct()
+    pairs = blocked_pairs(names.select(F.col(text).alias("__l"), text), "__l", text, names.select(F.col(text).alias("__r"), F.col(text).alias(rtext)), "__r", rtext, least).drop("__l", "__r")
+    small = items.select(F.col(key).alias(rkey), F.col(text).alias(rtext))
+    few = small.withColumn("__i", F.row_number().over(Window.partitionBy(rtext).orderBy(rkey))).where(F.col("__i") <= k + 1).drop("__i")
+    top = pairs.join(few, rtext).withColumn("__i", F.row_number().over(Window.partitionBy(text).orderBy(F.desc("score"), rkey))).where(F.col("__i") <= k + 1).drop("__i")
+    return best_match(items.join(top, text).where(F.col(key) != F.col(rkey)).select(key, rkey, text, rtext, "score"), key, rkey, k)
 
 
 def best_match(pairs: DataFrame, lkey: str, rkey: str, k: int = 1) -> DataFrame:

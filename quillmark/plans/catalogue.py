@@ -438,10 +438,8 @@ def page_urls(spark, sf):
 
 @_query("fuzzy_title_match")
 def fuzzy_title_match(spark, sf):
-    p = A.table(spark, sf, "part")
-    left = p.where(F.col("p_partkey") % 7 == 1).select(F.col("p_partkey").alias("cand_id"), F.col("p_name").alias("title"))
-    right = p.where(F.col("p_partkey") % 7 != 1).select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"))
-    return similarity.best_match(similarity.blocked_pairs(left, "cand_id", "title", right, "doc_id", "name", 0.571), "cand_id", "doc_id", 3)
+    parts = A.table(spark, sf, "part").select(F.col("p_partkey").alias("cand_id"), F.col("p_name").alias("title"))
+    return similarity.best_others(parts, "cand_id", "title", "doc_id", "name", 0.571, 3)
 
 
 # ---- support ----------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Operators against brute force, and invariants that any partitioning must keep."""
 
 import math
+import random
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -50,6 +51,34 @@ def test_blocked_similarity_equals_brute_force(spark):
     assert got == want
 
 
+def test_blocked_similarity_loses_no_pair(spark):
+    rng = random.Random(4)
+    names = ["cold bolt", "old plate", "", "a", "ab", None, *("".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))) for _ in range(60))]
+    names += [n[:-1] + "z" for n in names[-30:]]
+    a = spark.createDataFrame(list(enumerate(names)), "cand_id long, title string")
+    clean = [" ".join((n or "").split()) for n in names]
+    for least in (0.3, 0.571, 0.8, 0.9):
+        got = {(r["cand_id"], r["doc_id"]): r["score"] for r in similarity.blocked_pairs(a, "cand_id", "title", a.toDF("doc_id", "name"), "doc_id", "name", least).collect()}
+        want = {(i, j): s for i, x in enumerate(clean) for j, y in enumerate(clean) if x and y and (s := SequenceMatcher(None, x, y).ratio()) >= least}
+        assert got == want, least
+        assert least > 0.6 or (0, 1) in got  # no word in common
+
+
+def test_fuzzy_title_match_compares_all_parts(spark, sf_dir):
+    from quillmark.plans import catalogue
+
+    parts = sorted((r["p_partkey"], r["p_name"]) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect())
+    names = {n for _, n in parts}
+    ratio = {(x, y): SequenceMatcher(None, x, y).ratio() for x in names for y in names}
+    want = {}
+    for i, x in parts:
+        best = sorted((-ratio[x, y], j) for j, y in parts if j != i and ratio[x, y] >= 0.571)[:3]
+        want |= {(i, rank): (j, -s) for rank, (s, j) in enumerate(best, 1)}
+    got = catalogue.queries()["fuzzy_title_match"](spark, sf_dir)
+    assert got.columns == ["cand_id", "doc_id", "title", "name", "score", "rank"]
+    assert {(r["cand_id"], r["rank"]): (r["doc_id"], r["score"]) for r in got.collect()} == want
+
+
 def test_verdict_order(spark):
     df = spark.createDataFrame([(None, "", 0), (0.5, "", 0), (0.9, "near_duplicate", 2), (0.9, "", 1), (0.9, "", 0)], "s double, r string, m int")
     assert [r[0] for r in df.select(audit.verdict(F.col("s"), F.col("r"), F.col("m"))).collect()] == ["not_found", "not_found", "ambiguous", "metadata_mismatch", "verified"]
