@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from quillmark.functions.ident import author_coverage, base_arxiv, normalize_arxiv, normalize_doi, record_key, year_matches
 from quillmark.functions.text import blank, normalize_text
+from quillmark.operators.similarity import blocked_pairs
 
 STRONG, MARGIN = 0.70, 0.05
+SIMILAR = 0.85
 TITLE_MATCH, AUTHOR_MATCH, VENUE_MATCH = 0.90, 0.50, 0.60
 #: Risk level, score and next action of each verdict.
 RISK = {"verified": ("low", 0.05, "keep"), "metadata_mismatch": ("medium", 0.65, "review_metadata"), "not_found": ("high", 0.95, "resolve_identifier_or_replace"), "ambiguous": ("high", 0.85, "disambiguate_identifier")}
@@ -19,13 +21,17 @@ SUSPECT_PREFIXES = ("10.65215",)
 
 
 def cascade(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(cand_id, doc_id, method): by DOI, else by versioned arXiv id, else by normalised title; the first record wins; null if none."""
+    """(cand_id, doc_id, method): by DOI, else by versioned arXiv id, else by normalised title, else by the most similar title from SIMILAR on; the first record wins; null if none."""
     first = lambda key: corpus.select(key.alias("k"), "doc_id").where(F.length("k") > 0).groupBy("k").agg(F.min("doc_id").alias("hit"))
     x = candidates.select("cand_id", normalize_doi("doi").alias("d"), normalize_arxiv("arxiv_id").alias("a"), normalize_text("title").alias("t"))
     for name, key in (("d", normalize_doi("doi")), ("a", normalize_arxiv("arxiv_id")), ("t", normalize_text("title"))):
         x = x.join(first(key).withColumnsRenamed({"k": name, "hit": f"h{name}"}), name, "left")
-    method = F.when(F.col("hd").isNotNull(), "doi").when(F.col("ha").isNotNull(), "arxiv").when(F.col("ht").isNotNull(), "title").otherwise("none")
-    return x.select("cand_id", F.coalesce("hd", "ha", "ht").alias("doc_id"), method.alias("method"))
+    left = x.where(F.coalesce("hd", "ha", "ht").isNull() & (F.length("t") > 0)).select("t", F.col("t").alias("asked")).distinct()
+    titles = first(normalize_text("title")).select("hit", F.col("k").alias("name"))
+    similar = blocked_pairs(left, "t", "asked", titles, "hit", "name", SIMILAR).groupBy("t").agg(F.min_by("hit", F.struct(-F.col("score"), "hit")).alias("hs"))
+    x = x.join(similar, "t", "left")
+    method = F.when(F.col("hd").isNotNull(), "doi").when(F.col("ha").isNotNull(), "arxiv").when(F.col("ht").isNotNull(), "title").when(F.col("hs").isNotNull(), "similar").otherwise("none")
+    return x.select("cand_id", F.coalesce("hd", "ha", "ht", "hs").alias("doc_id"), method.alias("method"))
 
 
 def field_diffs(pairs: DataFrame, similar: Callable[[Column, Column], Column] | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ strings that pass two bounds which no qualifying pair fails (lengths, then share
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,8 @@ def blocked_pairs(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey
     b = right.select(rkey, F.col(rtext).alias("__b"), normalize_text(rtext).alias("__nb"))
     texts = {side: x.select(F.col(name).alias("t")).where(F.length("t") > 0).distinct().withColumn("g", _grams(q)("t")) for side, x, name in (("a", a, "__na"), ("b", b, "__nb"))}
     n = F.length("t")
+    # lengths that fit are in the same band or in neighbouring ones
+    band = F.floor(F.log(F.col("n")) / (math.log((2 - least) / least) + 1e-9))
     # the shorter of the two has at least this share of the other's length
     fewest = _needed(least, q, n * (1 + least / (2 - least)))
     df = texts["a"].unionByName(texts["b"]).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
@@ -80,13 +84,14 @@ def blocked_pairs(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey
         each = x.select("t", n.alias("n"), fewest.alias("least"), F.size("g").alias("size"), F.explode("g").alias("gram")).join(df, "gram")
         ordered = each.groupBy("t", "n", "least", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
         first = F.slice("o", F.lit(1), F.greatest(F.col("size") - F.greatest("least", F.lit(1)) + 1, F.lit(0)).cast("int"))
-        return ordered.select("t", "n", F.explode(first).alias("x")).select("t", "n", "x.gram")
+        return ordered.select("t", "n", F.explode(first).alias("x")).select("t", "n", band.alias("band"), "x.gram")
 
     # strings that need no shared gram are met by all of a fitting length
     free = lambda x: x.where(fewest < 1).select("t", n.alias("n"))
     fits = lambda x, y: 2.0 * F.least(x, y) / (x + y) >= least - 1e-9
     pa, pb = prefixes(texts["a"]).withColumnsRenamed({"t": "__na", "n": "la"}), prefixes(texts["b"]).withColumnsRenamed({"t": "__nb", "n": "lb"})
-    met = pa.join(pb, "gram").where(fits(F.col("la"), F.col("lb"))).select("__na", "__nb")
+    pa = pa.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+    met = pa.join(pb, ["gram", "band"]).where(fits(F.col("la"), F.col("lb"))).select("__na", "__nb")
     every = {side: texts[side].select(F.col("t").alias(f"__n{side}"), n.alias(f"l{side}")) for side in "ab"}
     for one, other in (("a", "b"), ("b", "a")):
         some = free(texts[one]).withColumnsRenamed({"t": f"__n{one}", "n": f"l{one}"})

@@ -79,6 +79,25 @@ def test_fuzzy_title_match_compares_all_parts(spark, sf_dir):
     assert {(r["cand_id"], r["rank"]): (r["doc_id"], r["score"]) for r in got.collect()} == want
 
 
+def test_cascade_finds_similar_titles(spark):
+    records = [(1, "", "", "Deep residual learning for image recognition"), (2, "", "", "Attention is all you need"), (3, "10.1/x", "", "Attention is all you need!"), (4, "", "", "Attention is all we need"), (5, "", "", "")]
+    asked = [(1, "", "", "Deep residual lerning for image recogniton"), (2, "", "", "Attention is al you need"), (3, "10.1/X", "", "another title"), (4, "", "", "Attention is all you need"), (5, "", "", "Graph cooking"), (6, "", "", ""), (7, "10.1/none", "", "Deep residual learning of image recognition"), (8, "", "", None)]
+    got = {r["cand_id"]: (r["doc_id"], r["method"]) for r in audit.cascade(spark.createDataFrame(asked, "cand_id long, doi string, arxiv_id string, title string"), spark.createDataFrame(records, "doc_id long, doi string, arxiv_id string, title string")).collect()}
+    clean = lambda t: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
+    for i, _, _, title in asked:
+        if i not in (3, 4):
+            score, doc = min(((-SequenceMatcher(None, clean(title), clean(t)).ratio() if title and t else 0.0, d) for d, _, _, t in records))
+            assert got[i] == ((doc, "similar") if -score >= 0.85 else (None, "none")), i
+    assert got[1] == (1, "similar") and got[7] == (1, "similar") and got[3] == (3, "doi") and got[4] == (2, "title")
+
+
+def test_field_diffs_by_similarity(spark):
+    fields = "title: string, authors: array<string>, year: int, venue: string, doi: string, arxiv_id: string"
+    pair = [(1, ("Attention is al you need", [], None, "Proc. Neural Systems", "", ""), ("Attention is all you need", [], None, "Proceedings of Neural Systems", "", ""))]
+    df = spark.createDataFrame(pair, f"cand_id: long, cand: struct<{fields}>, rec: struct<{fields}>")
+    assert {r["field"]: r["matches"] for r in audit.field_diffs(df, similarity.sequence_similarity).collect()} == {"title": True, "venue": True}
+
+
 def test_verdict_order(spark):
     df = spark.createDataFrame([(None, "", 0), (0.5, "", 0), (0.9, "near_duplicate", 2), (0.9, "", 1), (0.9, "", 0)], "s double, r string, m int")
     assert [r[0] for r in df.select(audit.verdict(F.col("s"), F.col("r"), F.col("m"))).collect()] == ["not_found", "not_found", "ambiguous", "metadata_mismatch", "verified"]
