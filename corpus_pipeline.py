@@ -28,13 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links (80 % of the five-word shingles) stays, once if its row repeats."""
-    found = minhash.near_duplicates(spark, docs)
-    kept = Scratch(spark, "kept").write(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "ids")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if kept.where("rows > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id"])
+    """One row of each component of links (80 % of the five-word shingles) stays, the first by a row number; doc_ids may repeat or be null."""
+    whole = Scratch(spark, "rows").write(docs.select(F.monotonically_increasing_id().alias("__row"), "*"), "docs")
+    found = minhash.near_duplicates(spark, whole.select(F.col("__row").alias("doc_id"), "text"))
+    kept = found.where("kept").select(F.col("doc_id").alias("__row"))
+    return whole.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

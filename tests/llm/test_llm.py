@@ -440,3 +440,18 @@ def test_pipeline_stages(spark, sf_dir):
     assert tokens == sum(len(b) // 4 + 1 for b in enc.batch([t or "" for t in rows.values()]))
     kept = minhash.near_duplicates(spark, docs)
     assert kept.where("not kept").count() <= 0.02 * seen[-1]
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(6)]
+    near = texts[0] + " more"
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, near), (9, texts[4]), (9, texts[0]), (10, texts[5]), (10, texts[5]), (11, None), (None, "")]
+    docs = documents(spark, [(i, t, "xx", "s") for i, t in rows])
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = collections.Counter(r["text"] for r in out.collect())
+    assert got.pop(texts[0], 0) + got.pop(near, 0) == 1
+    assert got == collections.Counter([*texts[1:], None, ""])
