@@ -390,6 +390,57 @@ def test_ann_recall_and_edges(spark):
     assert ann.search(spark, df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ann_copies_ties_and_repeated_ids(spark):
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(199, 8))
+    hot = [1.0] * 8
+    rows = [(1000 + i, v.tolist()) for i, v in enumerate(x)] + [(7, hot)] * 300 + [(i, hot) for i in range(100, 400)] + [(1005, [9.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(spark, df, F.col("vec_id").isin(7, 150, 1000)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    best = {}
+    for i, v in rows:
+        best.setdefault(i, set()).add(tuple(v))
+    for q, vs in ((7, [hot]), (150, [hot]), (1000, [x[0].tolist()])):
+        want = sorted((-max(float((np.array(a) * np.array(b)).sum()) for a in vs for b in best[i]), i) for i in best if i != q)[:20]
+        if q == 1000:  # the search is approximate
+            assert len({i for i, _ in got[q]} & {i for _, i in want}) >= 17 and len(got[q]) == 20
+        else:  # the hot vector's copies tie, and 1005 is nearest by its second vector
+            assert [i for i, _ in got[q]] == [i for _, i in want]
+            assert np.allclose([s for _, s in got[q]], [-s for s, _ in want], atol=1e-12)
+
+
+def test_ann_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 128)
+    monkeypatch.setattr(ann, "PART_ROWS", 160)
+    monkeypatch.setattr(ann, "PART_QUERIES", 40)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 600)
+    rng = np.random.default_rng(29)
+    centres = rng.normal(size=(30, 16)) * 3
+    x = centres[rng.integers(30, size=3000)] + rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.search(spark, df, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    s = x[::20] @ x.T
+    s[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert all(len(got[20 * i]) == 20 for i in range(150))
+    assert sum(len(got[20 * i] & set(b.tolist())) for i, b in enumerate(best)) / 3000 >= 0.9
+
+
+def test_centroid_graph_finds_all_within_reach():
+    rng = np.random.default_rng(39)
+    g = ann.Graph(rng.normal(size=(400, 6)))
+    v = rng.normal(size=(50, 6))
+    exact = np.sqrt(((v[:, None] - g.c) ** 2).sum(axis=2))
+    reach = np.sort(exact, axis=1)[:, 20]
+    found = g.distances(v, reach) <= reach[:, None]
+    assert found.sum() / (exact <= reach[:, None]).sum() > 0.95
+    assert np.isclose(g.anchor(v), np.sort(exact, axis=1)[:, ann.ANCHOR - 1]).mean() > 0.9
+
+
 # 10 ------------------------------------------------------------------------------------------------------------
 
 
