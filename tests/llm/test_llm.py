@@ -178,6 +178,39 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     assert all(not out[d[0]] for d in plain)
 
 
+def test_pii_bootstraps_over_two_hops(spark):
+    # e-mail addresses lead to "account holder", whose new instances lead to "case file", which no seed ever follows
+    rows = [f"Please write to account holder user{i}@mail.example.com today" for i in range(12)]
+    rows += [f"Please write to account holder ZX-998{i}-Q today" for i in range(4)] + [f"see case file ZX-998{i}-Q there" for i in range(4)]
+    rows += ["see case file KK-1-UNSEEN there", "an open case with 12 pages", "lot 12 case 4 file KK-2"]
+    out = {r["doc_id"]: r["spans"] for r in pii.find(spark, documents(spark, [(i, t, None, None) for i, t in enumerate(rows)])).collect()}
+    at = rows[20].index("KK")
+    assert out[20] == f"id:{at}:{at + 11}"
+    assert all(out[i].startswith("id:") for i in range(12, 20)) and not out[21] and not out[22]
+
+
+def test_pii_contexts_are_the_two_words_before(spark):
+    text = "DOB 1980-01-01 SSN 123-45-X x " + "w" * 200 + " y 7"
+    d = documents(spark, [(1, text, None, None)]).select(F.lit(0).alias("row"), F.col("text").alias("__text"))
+    got = [(t["core"], t["left"]) for t in pii._found(d.withColumn("__text", F.col("__text"))).first()["tokens"]]
+    assert got == [("123-45-x", "1980-01-01 ssn")]
+    d = documents(spark, [(1, "A 11:11 222 333\t\n444", None, None)]).select(F.lit(0).alias("row"), F.col("text").alias("__text"))
+    assert [(t["core"], t["left"]) for t in pii._found(d).first()["tokens"]] == [("222", "a 11:11"), ("333", "11:11 222"), ("444", "222 333")]
+
+
+def test_pii_text_of_very_many_matches(spark):
+    import time
+
+    text = "🙂 " + " ".join(f"4.{i % 200}.1.2 or u{i}@x.yz" for i in range(50_000))
+    began = time.time()
+    d = documents(spark, [(1, text, None, None)])
+    r = pii.find(spark, d).first()
+    assert (r["n_ip"], r["n_email"]) == (50_000, 50_000) and r["base_sha256"] == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    clean = pii.redact(spark, d).first()["text"]
+    assert clean == "🙂 " + " ".join(["<IP> or <EMAIL>"] * 50_000)
+    assert time.time() - began < 120
+
+
 def test_pii_redact(spark):
     d = documents(spark, [(1, "mail a@b.cd now", "en", "s"), (2, None, "en", "s"), (3, "clean", None, None)]).withColumn("base", F.lit(5))
     out = {r["doc_id"]: r for r in pii.redact(spark, d).collect()}
