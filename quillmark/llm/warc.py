@@ -7,13 +7,15 @@ Each task also sorts the captures it wrote by URL key and timestamp, run by run
 run as an index file, cut at the boundaries of key ranges.
 
 Merging: a task opens its range's slice of every run and merges them with a loser tree: one comparison per level
-for a row, and one buffered line per run in memory. Ranges are bounded by keys of a bounded sample, with timestamp
+for a row, and one buffered piece per run in memory. Where a range has more than FAN_IN slices, they are merged in passes:
+FAN_IN at a time become a longer run, until one merge is left, so open files and buffers are bounded. Ranges are bounded by keys of a bounded sample, with timestamp
 and page_id as part of the key, so one URL with a third of all captures is still spread over many ranges. The
 merged ranges in order are the globally ordered capture histories; ``capture`` numbers the captures of a URL key.
 
 Files go to the shared folder through pyarrow's filesystems. A task that is tried again writes files of new
 names, and only those named in the committed table of captures are ever read. Reading back goes through the
-archives one by one, record by record, and checks each payload's digest.
+archives, dealt over as many tasks as there are archives (READERS at most), record by record, and checks each payload's
+digest.
 
 A null html is an empty payload, a null url an empty key. Rows with a null page_id are not written. Repeated rows
 are captures of their own; rows that share the least page_id of their payload are all responses. Empty tables give
@@ -40,6 +42,10 @@ MIN_REVISIT = 100
 ROLL_BYTES, RUN_ROWS = 64 << 20, 100_000
 #: Keys that the range boundaries are taken from at most, and captures of a range about.
 SAMPLE_KEYS, RANGE_ROWS = 10_000, 50_000
+#: Runs that are merged at once, and bytes that are read of each at a time.
+FAN_IN, PIECE = 256, 1 << 16
+#: Tasks that read archives at most.
+READERS = 20_000
 #: Captures have no time of their own in the table: they are dated one second apart by page_id (fixed value: 2020-01-01).
 EPOCH, DATED = 1_577_836_800, 1_000_000_000
 CAPTURE = "page_id long, url_key string, ts long, archive string, offset long, size long, record_type string"
@@ -223,15 +229,35 @@ def _slice(fs, path: str, start: int, stop: int) -> Iterator[tuple]:
         f.seek(start)
         rest, left = b"", stop - start
         while left:
-            chunk = f.read(min(left, 1 << 16))
+            chunk = f.read(min(left, PIECE))
             left -= len(chunk)
             *lines, rest = (rest + chunk).split(b"\n")
             for line in lines:
                 yield tuple(json.loads(line))
 
 
-def _merge(root: str) -> Callable:
-    """Slices (sorted by range) to captures in order, with the number of the range and of the row in it."""
+def _in_passes(fs, base: str, slices: list[tuple[str, int, int]], fan_in: int) -> Iterator[tuple]:
+    """The rows of all slices in order; runs of an earlier pass go when they have been read."""
+    made: list[str] = []
+    while len(slices) > fan_in:
+        longer = []
+        for lo in range(0, len(slices), fan_in):
+            name, at = f"{uuid.uuid4().hex}.pass", 0
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+                for row in LoserTree([_slice(fs, f"{base}/{x}", a, b) for x, a, b in slices[lo : lo + fan_in]]):
+                    line = _line(row[:3], row[3:])
+                    f.write(line)
+                    at += len(line)
+            longer.append((name, 0, at))
+            made.append(name)
+        slices = longer
+    yield from LoserTree([_slice(fs, f"{base}/{x}", a, b) for x, a, b in slices])
+    for name in made:
+        fs.delete_file(f"{base}/{name}")
+
+
+def _merge(root: str, fan_in: int) -> Callable:
+    """Slices to captures in order, with the number of the range and of the row in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(root)
@@ -242,7 +268,7 @@ def _merge(root: str) -> Callable:
         names = ["range", "pos", "url_key", "ts", "page_id", "archive", "offset", "size", "record_type"]
         for rng in sorted(slices):
             rows = []
-            for pos, x in enumerate(LoserTree([_slice(fs, f"{base}/{f}", a, b) for f, a, b in sorted(slices[rng])])):
+            for pos, x in enumerate(_in_passes(fs, base, sorted(slices[rng]), fan_in)):
                 rows.append((rng, pos, *x))
                 if len(rows) == 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names)
@@ -282,10 +308,11 @@ class Archive:
         html = F.coalesce(F.col("html").cast("string"), F.lit(""))
         rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
         digests = self.work.write(rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("n")), "digests")
+        # copies are joined by sorting: their number grows with the table, so none of it is broadcast
         first = self.work.write(digests.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("k")).where("k > 1"), "copied")
-        revisits = digests.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+        revisits = digests.join(first.hint("merge"), "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
         with_digest = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-        ready = with_digest.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+        ready = with_digest.join(revisits.hint("merge"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
         self.captures = self.work.write(ready.mapInArrow(_write(self.files), CAPTURE), "captures")
         self.work.drop(digests, first)
 
@@ -301,37 +328,44 @@ class Archive:
         fs, base = _filesystem(root)
         fs.create_dir(base, recursive=True)
         slices = self.work.write(self.captures.mapInArrow(_sort_runs(root, self.spark.sparkContext.broadcast(edges)), "range int, file string, start long, stop long"), "slices")
-        merged = slices.repartition(ranges, "range").mapInArrow(_merge(root), "range long, pos long, url_key string, ts long, page_id long, archive string, offset long, size long, record_type string")
+        merged = slices.repartitionById(ranges, "range").mapInArrow(_merge(root, FAN_IN), "range long, pos long, url_key string, ts long, page_id long, archive string, offset long, size long, record_type string")
         merged = self.work.write(merged, "history")
         # captures of a key before a range: the ranges are few, and a key that spans several has one row for each
         per = merged.groupBy("url_key", "range").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         per = self.work.write(per.select("url_key", "range", "first", before.alias("before")), "keys")
-        return merged.join(per, ["url_key", "range"]).withColumn("capture", F.col("before") + F.col("pos") - F.col("first") + 1).drop("before", "first")
+        return merged.join(per.hint("merge"), ["url_key", "range"]).withColumn("capture", F.col("before") + F.col("pos") - F.col("first") + 1).drop("before", "first")
 
     def read_back(self) -> DataFrame:
         """Every record of every archive: archive, nth, page_id, payload_bytes, payload_digest, record_type, refers_to."""
-        names = self.captures.select("archive").distinct()
+        names = self.work.write(self.captures.select("archive").distinct(), "archives")
+        tasks = max(1, min(READERS, names.count()))
+        names = names.withColumn("nth", F.row_number().over(Window.orderBy("archive")) % tasks).repartitionById(tasks, "nth").select("archive")
         return names.mapInArrow(_read_back(self.files), "archive string, nth long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record as it was read back, with its place in the merged history: url_key, ts and capture (from 1, of its key)."""
     archive = Archive(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    history = archive.history().select("page_id", "archive", "offset")
+    history = archive.history().select("page_id", "archive", "offset", "url_key", "ts", "capture")
     back = archive.read_back()
     # equal page_ids in one archive are told apart by their order in it
     w = Window.partitionBy("archive", "page_id")
     left = back.withColumn("same", F.row_number().over(w.orderBy("nth")))
     right = history.withColumn("same", F.row_number().over(w.orderBy("offset")))
-    return left.join(right, ["archive", "page_id", "same"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return left.join(right, ["archive", "page_id", "same"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "capture")
 
 
+_HOST = "string_split(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '.')"
+_TAIL = "lower(CASE WHEN regexp_matches(url, '^[a-zA-Z]+://[^/?#]*[?#]?$') THEN '/' ELSE regexp_extract(regexp_replace(url, '#.*$', ''), '^[a-zA-Z]+://[^/?#]*(.*)$', 1) END)"
 ORACLE_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
-d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
-f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= {MIN_REVISIT} GROUP BY payload_digest)
-SELECT d.page_id, d.payload_bytes, d.payload_digest,
-  CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN f.first_id <> d.page_id THEN f.first_id END AS refers_to
-FROM d LEFT JOIN f USING (payload_digest)
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, {_HOST} AS host, {_TAIL} AS tail FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= {MIN_REVISIT} GROUP BY payload_digest),
+k AS (SELECT *, array_to_string(list_reverse(CASE WHEN len(host) > 2 AND host[1] IN ('www', 'm') THEN host[2:] ELSE host END), ',') || ')' || tail AS url_key, {EPOCH} + page_id % {DATED} AS ts FROM d)
+SELECT k.page_id, k.payload_bytes, k.payload_digest,
+  CASE WHEN f.first_id IS NULL OR f.first_id = k.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first_id <> k.page_id THEN f.first_id END AS refers_to,
+  url_key, ts, row_number() OVER (PARTITION BY url_key ORDER BY ts, k.page_id) AS capture
+FROM k LEFT JOIN f USING (payload_digest)
 """

@@ -131,6 +131,26 @@ def test_warc_round_trip(spark):
     assert none.read_back().count() == 0 and none.history().count() == 0
 
 
+def test_warc_many_runs_ranges_and_passes(spark, monkeypatch):
+    for name, value in (("RUN_ROWS", 7), ("RANGE_ROWS", 40), ("FAN_IN", 3), ("ROLL_BYTES", 4000), ("PIECE", 50)):
+        monkeypatch.setattr(warc, name, value)
+    rng = random.Random(22)
+    rows = [(i, f"http://h{rng.randrange(4)}.org/{rng.randrange(3)}" if i % 3 else "http://hot.org/", prose(rng, 30)) for i in range(300)] + [(900, "http://hot.org/long", "x" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    archive = warc.Archive(spark, pages)
+    history = archive.history().orderBy("range", "pos").collect()
+    keys = [(r["url_key"], r["ts"], r["page_id"]) for r in history]
+    assert keys == sorted((warc.url_key(u), warc.EPOCH + i, i) for i, u, _ in rows)
+    assert len({r["range"] for r in history}) > 4 and archive.captures.select("archive").distinct().count() > 8
+    seen = collections.Counter()
+    for r in history:
+        seen[r["url_key"]] += 1
+        assert r["capture"] == seen[r["url_key"]]
+    back = archive.read_back()
+    assert back.rdd.getNumPartitions() > 8
+    assert {r["page_id"]: r["payload_digest"] for r in back.collect()} == {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows}
+
+
 # 3 -------------------------------------------------------------------------------------------------------------
 
 BASE = {
