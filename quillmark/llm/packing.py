@@ -34,7 +34,7 @@ BROADCAST_SEGMENTS = 200_000
 #: The split before the merges that byte-level tokenizers files of this family use (fixed value).
 PRE_SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Texts on which both engines must agree before the faster one is used.
-PROBES = ["", " ", "It's  a\n\n test\t of 1234 words, isn't it?  ", "çà été\u00a0\u3000漢字 🙂 a\r\n  b", "<|endoftext|> x" + "ab" * 300]
+PROBES = ["", " ", "It's  a\n\n test\t of 1234 words, isn't it?  ", "çà été\u00a0\u3000漢字 🙂 a\r\n  b", "< |endoftext|> x" + "ab" * 300]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -47,9 +47,9 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """Whole texts to little-endian 32-bit ids, by the given tokenizers file.
 
-    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``; strings of special tokens
-    in a text are ordinary text. Where the file is a plain byte-level BPE whose ids follow the order of
-    its merges, the same vocabulary runs in the faster engine (checked on probes in each worker).
+    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``, with the file as it is. Where it
+    is a plain byte-level BPE whose ids follow the order of its merges, the same vocabulary runs in the
+    faster engine (checked on probes in each worker) for texts without a string of an added token.
     """
 
     def __init__(self, path: str):
@@ -61,7 +61,6 @@ class Encoder:
 
             path = public_tokenizers.path(path)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.fast = self._ranked(path)
 
     def _ranked(self, path: str):
@@ -72,6 +71,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         letters, special = _byte_letters(), {t["content"] for t in model.get("added_tokens", [])}
+        self.added = sorted(special)
         try:
             ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
             fast = tiktoken.Encoding("file", pat_str=PRE_SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -83,7 +83,10 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        ids = [self.fast.encode_ordinary(t) for t in texts] if self.fast else [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        if self.fast:
+            ids = [self.tok.encode(t, add_special_tokens=False).ids if any(a in t for a in self.added) else self.fast.encode_ordinary(t) for t in texts]
+        else:
+            ids = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         return [np.array(x, dtype="<u4").tobytes() for x in ids]
 
 
