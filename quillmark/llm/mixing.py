@@ -4,12 +4,14 @@ A source's documents are cut into blocks of BLOCK_CHARS characters. With weight
 slot floor(i / w) and due at ceil((i + 1) / w); of the released blocks the one that is due earliest takes each slot.
 Weights are whole parts of HYPER slots, so the schedule repeats every HYPER slots: it is computed for one period
 (HYPER rows, whatever the data) and block i of a source with q slots a period stands in period i div q, at that
-source's slot number i mod q. While a source lasts, its share of any prefix is less than one block from its weight.
+source's slot number i mod q. A document stands whole in the block where it begins. While a source lasts, the blocks it
+has begun in any prefix are less than one from its weight, so its characters are less than one block and its longest document.
 Every document appears once: when a source is used up its slots stay empty, and the others go on in proportion.
 
 Places inside a source are prefix sums over parts of about PART_ROWS rows, and so are the places in the whole
-sequence, so one source with a third of all rows is many tasks. Documents of equal place cannot occur: rows are ordered
-by a hash, doc_id and a row number.
+sequence, so one source with a third of all rows is many tasks. Inside a source, documents are ordered by a hash of id
+and text, then by a hash of all columns: the order does not depend on how the rows are dealt over partitions, and rows
+that tie in both are equal. More than MAX_SOURCES sources are an error: group small ones first.
 
 A null source is a source of its own. Null and empty texts count one character, so that they have a place. The weights
 default to the sources' sizes to the power ALPHA; sources without a given weight share what is left in proportion to their
@@ -31,6 +33,8 @@ BLOCK_CHARS = 65_536
 HYPER = 4_096
 ALPHA = 0.7
 PART_ROWS = 4_000
+#: The sources' totals, and a timetable of at least two slots for each, are on the driver and broadcast.
+MAX_SOURCES = 100_000
 #: Slots whose documents are numbered together.
 SLOTS = 16
 
@@ -82,16 +86,28 @@ def _prefix(work: Scratch, rows: DataFrame, key: list[str], part: str, order: li
     return joined.withColumn(out, F.col("__above") + F.coalesce(F.sum(size).over(before), F.lit(0))).drop("__above")
 
 
+def _key(docs: DataFrame) -> list:
+    """The columns that a place is made of."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    doc_id = F.col("doc_id").cast("long")
+    return [
+        doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), F.greatest(F.char_length(text), F.lit(1)).cast("long").alias("chars"),
+        F.xxhash64(doc_id, text).alias("h"), F.xxhash64(*hashed).alias("tie"),
+    ]
+
+
 def schedule(spark: SparkSession, docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, hyper: int = HYPER) -> DataFrame:
     """row, doc_id, source, chars, block (of its source), slot, position (from 0, gapless) for every row of ``docs``."""
     work = Scratch(spark, "mix")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.greatest(F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1)).cast("long").alias("chars"))
-    rows = work.write(rows, "rows")
+    rows = work.write(docs.select(F.monotonically_increasing_id().alias("row"), *_key(docs)), "rows")
     return _placed(spark, work, rows, weights, block_chars, hyper)
 
 
 def _placed(spark: SparkSession, work: Scratch, rows: DataFrame, weights: dict | None, block_chars: int, hyper: int) -> DataFrame:
-    totals = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).collect()  # one row per source
+    totals = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     if not totals:
         return rows.select("row", "doc_id", "source", "chars", *(F.lit(0).cast("long").alias(c) for c in ("block", "slot", "position")))
     quota = quotas({r["source"]: r["chars"] for r in totals}, weights, hyper)
@@ -100,9 +116,8 @@ def _placed(spark: SparkSession, work: Scratch, rows: DataFrame, weights: dict |
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<s:string,k:long,slot:long>>")))
     parts = json.dumps([{"s": r["source"], "q": quota[r["source"]], "m": max(1, -(-r["n"] // PART_ROWS))} for r in totals])
     sources = spark.range(1).select(F.inline(F.from_json(F.lit(parts), "array<struct<s:string,q:long,m:long>>")))
-    h = F.xxhash64("doc_id", "row")
-    x = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("part", F.pmod(h, F.col("m"))).withColumn("h", h)
-    x = _prefix(work, x, ["source"], "part", ["h", "doc_id", "row"], "chars", "before")
+    x = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("part", F.pmod("h", "m"))
+    x = _prefix(work, x, ["source"], "part", ["h", "doc_id", "tie", "row"], "chars", "before")
     x = x.withColumn("block", F.expr(f"before div {block_chars}"))
     k = F.col("block") % F.col("q")
     x = x.withColumn("k", k).join(F.broadcast(plan.withColumnRenamed("slot", "at").withColumnRenamed("k", "pk")), F.col("source").eqNullSafe(F.col("s")) & (F.col("k") == F.col("pk")))
@@ -121,7 +136,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict | None = None, block
     names = docs.columns
     work = Scratch(spark, "mix")
     whole = work.write(docs.select(F.monotonically_increasing_id().alias("__row"), "*"), "docs")
-    rows = whole.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.greatest(F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1)).cast("long").alias("chars"))
+    rows = whole.select(F.col("__row").alias("row"), *_key(docs))
     place = _placed(spark, work, rows, weights, block_chars, HYPER).select(F.col("row").alias("__row"), F.col("position").alias("__position"))
     joined = whole.join(place, "__row")
     n = [partitions] if partitions else []

@@ -7,8 +7,10 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillmark.llm import ann, chat, langid, lattice, minhash, mixing, packing, pii, toxicity, warc
 from quillmark.llm.graph import connected_components
@@ -278,6 +280,45 @@ def test_mix_is_whole_and_follows_weights(spark):
     assert mixed.count() == len(rows) and mixed.columns[-1] == "position"
 
 
+def test_mix_equals_brute_force_on_any_partitioning(spark):
+    rng = random.Random(14)
+    rows = [(i % 50, prose(rng, rng.randint(1, 20)) if i % 7 else None, str(i % 3), rng.choice(["hot", "hot", "b", None])) for i in range(260)] + [(1, "again", None, "b")] * 3 + [(2, "x" * 5000, None, "hot")]
+    docs = documents(spark, rows)
+    key = lambda r: (r["position"], r["doc_id"], r["source"], r["chars"], r["block"], r["slot"])
+    runs = [sorted(map(key, mixing.schedule(spark, d, {"hot": 0.5}, block_chars=300).collect())) for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy(F.desc("doc_id")))]
+    assert runs[0] == runs[1] == runs[2]
+    mixed = [[tuple(r) for r in mixing.mix(spark, d, {"hot": 0.5}, block_chars=300, partitions=3).collect()] for d in (docs.coalesce(1), docs.repartition(7))]
+    assert mixed[0] == mixed[1]
+    # one slot after another: of the sources with a released block the one that is due earliest
+    sizes = collections.Counter()
+    for _, t, _, s in rows:
+        sizes[s] += max(1, len(t or ""))
+    quota = mixing.quotas(dict(sizes), {"hot": 0.5})
+    period, blocks = sum(quota.values()), {s: sorted({b for _, _, z, _, b, _ in runs[0] if z == s}) for s in quota}
+    done, slot_of = dict.fromkeys(quota, 0), {}
+    for slot in range(max(r[5] for r in runs[0]) + 1):
+        ready = [(-(-(done[s] + 1) * period // quota[s]), i, s) for i, s in enumerate(quota) if done[s] * period // quota[s] <= slot]
+        if ready:
+            _, _, s = min(ready)
+            slot_of[s, done[s]] = slot
+            done[s] += 1
+    assert all(slot_of[s, b] == slot for _, _, s, _, b, slot in runs[0])
+    assert [(r[5]) for r in runs[0]] == sorted(r[5] for r in runs[0]) and blocks["hot"][0] == 0
+    longest = max(len(t or "") for _, t, _, _ in rows)
+    last = {s: max(r[5] for r in runs[0] if r[2] == s) for s in quota}
+    taken = dict.fromkeys(quota, 0)
+    for _, _, s, chars, _, slot in runs[0]:  # characters of any prefix, while all sources last
+        taken[s] += chars
+        if slot < min(last.values()):
+            assert abs(taken[s] / 300 - (slot + 1) * quota[s] / period) <= 1 + (300 + longest) / 300
+    with pytest.raises(ValueError):
+        mixing.MAX_SOURCES, kept = 2, mixing.MAX_SOURCES
+        try:
+            mixing.schedule(spark, docs)
+        finally:
+            mixing.MAX_SOURCES = kept
+
+
 # 5 and the graph ----------------------------------------------------------------------------------------------------
 
 
@@ -500,11 +541,11 @@ def test_centroid_graph_finds_all_within_reach():
 @pytest.mark.parametrize("seq_len", [16, 2048])
 def test_packing_round_trip(spark, seq_len):
     rng = random.Random(10)
-    texts = [None, "", " ", "a  b\n\n c   ", "çà 漢字 🙂", "<|endoftext|>", *(prose(rng, rng.randint(1, 300)) for _ in range(40)), "z" * 5000]
+    texts = [None, "", " ", "a  b\n\n c   ", "çà 漢字 🙂", "<|endoftext|>", "a <|endoftext|>\n<|endoftext|>b", *(prose(rng, rng.randint(1, 300)) for _ in range(40)), "z" * 5000]
     rows = [(i, t, None, None) for i, t in enumerate(texts)] + [(3, texts[3], None, None)]
-    enc = packing.Encoder(packing.TOKENIZER)
+    file = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))  # as it is
     pieces = packing.pack(spark, documents(spark, rows).withColumn("length", F.lit(0)), seq_len, with_ids=True).collect()
-    want = collections.Counter((i, *enc.tok.encode(t or "", add_special_tokens=False).ids, 1) for i, t, _, _ in rows)
+    want = collections.Counter((i, *file.encode(t or "", add_special_tokens=False).ids, 1) for i, t, _, _ in rows)
     stream = b"".join(bytes(p["piece_ids"]) for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])))
     ids, now, got, at = np.frombuffer(stream, "<u4"), [], collections.Counter(), 0
     for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
@@ -519,6 +560,15 @@ def test_packing_round_trip(spark, seq_len):
     assert packing.pack(spark, empty(spark)).count() == 0
 
 
+def test_packing_engines_agree_on_odd_texts():
+    rng = random.Random(20)
+    enc, file = packing.Encoder(packing.TOKENIZER), Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    alphabet = ["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "'s", "'LL", "½", "²", "é", "e\u0301", "ß", "漢", "ก็", "🙂", "👩\u200d👧", "\u0000", "1234", "a", "THE", "_", "-", "."]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(3000)]
+    assert enc.fast is not None
+    assert enc.batch(texts) == [np.array(e.ids, "<u4").tobytes() for e in file.encode_batch(texts, add_special_tokens=False)]
+
+
 # the pipeline ----------------------------------------------------------------------------------------------------
 
 
