@@ -8,19 +8,20 @@ folder, which workers map into memory (or read, where the folder is not a local
 holds a line for each range and no n-gram. A text gets the language of lowest cross-entropy per
 character, over the whole text; each distinct word is scored once per worker, by binary searches.
 
-Rejection is calibrated on labelled texts that were not counted. Per language they give the mean
-cross-entropy of its own texts, that of the best wrong language, and the spread of the former (which
-shrinks with the root of a text's length). A text is rejected if its cross-entropy lies beyond
+Rejection is calibrated on labelled texts that were not counted: a bounded number of each language, picked by a hash of the row,
+a quarter of its texts at most; all others are counted. Per language they give the mean cross-entropy of its own texts,
+that of the best wrong language, and the spread of the former (which shrinks with the root of a text's length); a
+language of fewer than LEAST_TEXTS such texts takes the means of the others. A text is rejected if its cross-entropy lies beyond
 ``reject_share`` of the way from the own to the wrong mean and ``reject_z`` spreads above the own: texts
 that only quote another language stay. A text without letters (language ``und``) is rejected too.
 
-Null and empty texts get ``und`` with score 0. Rows of equal doc_id are predicted each. With an empty
+Letters are the characters of Unicode category L. Null and empty texts get ``und`` with score 0. Rows of equal or null doc_id are
+predicted each. With an empty
 table, or no labelled rows, nothing is learned and every text is ``und``. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,8 +40,8 @@ ORDER = 5
 BITS = 12
 START, END = 1, 2
 DISCOUNT = 0.75
-#: Rows on which the rejection is calibrated, at most.
-CALIBRATION_ROWS = 8_000
+#: Texts of a language on which the rejection is calibrated, about, at most; the share of its texts at most; and texts that its own means need.
+CALIBRATION_TEXTS, CALIBRATION_SHARE, LEAST_TEXTS = 2_000, 0.25, 20
 REJECT_Z, REJECT_SHARE = 6.0, 0.75
 #: Sharpness of the posterior over languages, per character of cross-entropy, up to so many characters.
 SHARPNESS_CHARS = 40
@@ -49,7 +51,7 @@ CACHE_CELLS, WORK_CELLS = 2_000_000, 4_000_000
 
 RESULT = ("lang_pred", "score", "cross_entropy", "rejected")
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def pack_chars(text: str) -> np.ndarray:
@@ -399,33 +401,37 @@ def _entropies(model):
     return run
 
 
-def learn(spark: SparkSession, docs: DataFrame, usable: Column, held_back: Column) -> Model:
-    """Counts all rows of ``usable`` that are not ``held_back``; calibrates on at most CALIBRATION_ROWS of those that are."""
+def learn(spark: SparkSession, docs: DataFrame, usable: Column, calibration: int = CALIBRATION_TEXTS) -> Model:
+    """Counts all rows of ``usable`` but about ``calibration`` of each language, which the rejection is calibrated on."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    texts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    langs = sorted(texts)
     if not langs:
         return Model()
+    parts = 1 << 20
+    some = F.create_map(*(F.lit(x) for lang, n in texts.items() for x in (lang, int(parts * min(CALIBRATION_SHARE, calibration / n)))))
+    held_back = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(parts)) < some[F.col("lang")]
     counted = known.where(~held_back).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     counts = Scratch(spark, "language-counts").write(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "sums")
     m = estimate_ranges(spark, langs, counts)
     return calibrate(spark, m, known.where(held_back))
 
 
-def calibrate(spark: SparkSession, m: Model, labelled: DataFrame, rows: int = CALIBRATION_ROWS) -> Model:
-    m.mean, m.spread, m.wrong = np.full(len(m.langs), 3.0), np.full(len(m.langs), 3.0), np.full(len(m.langs), 6.0)
-    if not m.langs:
-        return m
+def calibrate(spark: SparkSession, m: Model, labelled: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(m)
-    pick = labelled.select("lang", "text", F.xxhash64("doc_id").alias("o")).orderBy("o").limit(rows)
-    got = pick.select("lang", "text").mapInArrow(_entropies(shared), "lang string, h double, w double, n double").toArrow().to_pylist()
-    for j, lang in enumerate(m.langs):
-        mine = [(r["h"], r["w"], r["n"]) for r in got if r["lang"] == lang and r["n"] > 0]
-        if len(mine) >= 20:
-            h, w, n = np.array(mine).T
-            m.mean[j] = np.average(h, weights=n)
-            if np.isfinite(w).all():
-                m.wrong[j] = max(np.average(w, weights=n), m.mean[j] + 1.0)
-            m.spread[j] = max(0.3, float(np.sqrt(np.mean((h - m.mean[j]) ** 2 * np.minimum(n, 400)))))
+    got = labelled.select("lang", "text").mapInArrow(_entropies(shared), "lang string, h double, w double, n double").where("n > 0").toArrow()
+    lang, h, w, n = (got.column(c).to_numpy(zero_copy_only=False) if c == "lang" else got.column(c).to_numpy() for c in ("lang", "h", "w", "n"))
+    own = [np.flatnonzero(lang == x) for x in m.langs]
+    mean, spread, wrong = (np.full(len(m.langs), np.nan) for _ in range(3))
+    for j, at in enumerate(own):
+        if len(at) >= LEAST_TEXTS:
+            mean[j] = np.average(h[at], weights=n[at])
+            spread[j] = max(0.3, float(np.sqrt(np.mean((h[at] - mean[j]) ** 2 * np.minimum(n[at], 400)))))
+            if np.isfinite(w[at]).all():
+                wrong[j] = max(np.average(w[at], weights=n[at]), mean[j] + 1.0)
+    rest = lambda x, default: np.where(np.isnan(x), np.nanmean(x) if np.isfinite(x).any() else default, x)
+    m.mean, m.spread = rest(mean, 3.0), rest(spread, 3.0)
+    m.wrong = np.maximum(rest(wrong, 6.0), m.mean + 1.0)
     return m
 
 
@@ -475,8 +481,8 @@ def fold(n: int) -> Column:
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Learns from the rows whose fold is not 2 (of those, fold 3 calibrates) and predicts all: doc_id, held_out, lang_pred, score, cross_entropy, rejected."""
-    model = learn(spark, docs, fold(4) != 2, fold(4) == 3)
+    """Learns from the rows whose fold is not 2 and predicts all: doc_id, held_out, lang_pred, score, cross_entropy, rejected."""
+    model = learn(spark, docs, fold(4) != 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(4) == 2).alias("held_out"))
     return predict(spark, rows, model, {"doc_id": "long", "held_out": "boolean"})
 

@@ -45,10 +45,11 @@ def _two_languages(spark):
 
 
 def test_langid_learns_rejects_and_handles_edges(spark):
-    rows = [*_two_languages(spark), (1000, None, None, None), (1001, "", "xx", "s"), (1002, "123 !?", "xx", "s"), (1003, "Ωφελ ψζχ " * 40, None, "s"), (1003, "kato mi", None, "s")]
+    rows = [*_two_languages(spark), (1000, None, None, None), (1001, "", "xx", "s"), (1002, "123 !? ½ ② ²", "xx", "s"), (None, "kato mi", None, None), (1004, "kato mi " * 50_000, None, "s"), (1003, "Ωφελ ψζχ " * 40, None, "s"), (1003, "kato mi", None, "s")]
     out = langid.identify(spark, documents(spark, rows)).collect()
     assert len(out) == len(rows)
     by = {r["doc_id"]: r for r in out if r["doc_id"] != 1003}
+    assert by[None]["lang_pred"] == by[1004]["lang_pred"] == "yy"
     held = [(by[i]["lang_pred"], lang) for i, _, lang, _ in rows[:400] if by[i]["held_out"]]
     assert held and sum(a == b for a, b in held) / len(held) > 0.98
     assert all(by[i]["lang_pred"] == "und" and by[i]["rejected"] and by[i]["score"] == 0 for i in (1000, 1001, 1002))
@@ -84,7 +85,7 @@ def test_langid_keeps_all_ngrams_and_languages(spark):
     rng = random.Random(11)
     words = {f"l{i:02d}": ["".join(rng.choice("abcdefgh" + chr(0x3B1 + i % 20)) for _ in range(rng.randint(1, 7))) for _ in range(12)] for i in range(70)}
     rows = [(i, " ".join(ws), lang, "s") for i, (lang, ws) in enumerate(words.items())]
-    m = langid.learn(spark, documents(spark, rows), F.lit(True), F.lit(False))
+    m = langid.learn(spark, documents(spark, rows), F.lit(True), calibration=0)
     assert m.langs == sorted(words)  # more than the 64 that were kept before
     counts = []
     for lang in m.langs:
@@ -96,6 +97,46 @@ def test_langid_keeps_all_ngrams_and_languages(spark):
     assert sum(r[3] for r in m.ranges if r[0] == 2 * langid.ORDER - 2) == sum(len(g) for g, _ in counts)
 
 
+def test_langid_equals_brute_force(spark):
+    """Cross-entropies of interpolated Kneser-Ney, from their definition, on dictionaries of strings."""
+    rows = _two_languages(spark)[:60]
+    docs = documents(spark, rows)
+    m = langid.learn(spark, docs, F.lit(True), calibration=0)
+    pad = langid.START, langid.END
+    full = {lang: collections.Counter() for lang in ("xx", "yy")}
+    for _, text, lang, _ in rows:
+        for word in text.split():
+            s = [pad[0]] * (langid.ORDER - 1) + [ord(c) for c in word] + [pad[1]]
+            full[lang].update(tuple(s[i : i + langid.ORDER]) for i in range(len(s) - langid.ORDER + 1))
+    levels = {}
+    for lang, counts in full.items():
+        levels[lang, langid.ORDER] = counts
+        for k in range(langid.ORDER - 1, 0, -1):
+            levels[lang, k] = collections.Counter(g[1:] for g in levels[lang, k + 1])
+    letters = {g for lang in full for g in levels[lang, 1]}
+
+    def p(lang, g):
+        if not g:
+            return 1 / (len(letters) + 1)
+        same = {x: n for x, n in levels[lang, len(g)].items() if x[:-1] == g[:-1]}
+        if not same:
+            return p(lang, g[1:])
+        total = sum(same.values())
+        return max(same.get(g, 0) - langid.DISCOUNT, 0) / total + langid.DISCOUNT * len(same) / total * p(lang, g[1:])
+
+    out = {r["doc_id"]: r for r in langid.predict(spark, docs, m, {"doc_id": "long"}).collect()}
+    for i, text, _, _ in rows[:6]:
+        h = {}
+        for lang in full:
+            total = chars = 0
+            for word in text.split():
+                s = [pad[0]] * (langid.ORDER - 1) + [ord(c) for c in word] + [pad[1]]
+                total -= sum(np.log(p(lang, tuple(s[j : j + langid.ORDER]))) for j in range(len(s) - langid.ORDER + 1))
+                chars += len(word) + 1
+            h[lang] = total / chars
+        assert out[i]["lang_pred"] == min(h, key=h.get) and abs(out[i]["cross_entropy"] - min(h.values())) < 1e-4
+
+
 def test_langid_empty(spark):
     assert langid.identify(spark, empty(spark)).count() == 0
 
