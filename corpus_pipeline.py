@@ -21,7 +21,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are rejected, or without letters."""
-    model = langid.learn(spark, docs, langid.fold(4) != 2, langid.fold(4) == 3)
+    model = langid.learn(spark, docs, F.lit(True))
     keys = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     judged = langid.keep(spark, docs, model, keys)
     return judged.where(~F.col("__rejected")).select(*docs.columns)
