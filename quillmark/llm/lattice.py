@@ -1,5 +1,8 @@
 """Near-duplicate embeddings by lattice hashing.
 
+Vectors of one label and equal direction (bit for bit, as unit vectors) are one class with a number of members, so a
+group of copies costs as much as one vector; a class counts its members for those that it links with.
+
 In each of TABLES tables a random projection takes the unit vector to two blocks of eight dimensions,
 and each block is decoded to its nearest point of the E8 lattice; the two points are the cell. A vector
 is stored in its own cell and looks into PROBES neighbouring cells: those that take the next-best lattice
@@ -12,8 +15,8 @@ From a block come, per vector, the number of new links, and a spanning forest of
 summed and the forests' components found by contraction.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with
-nothing. Repeated rows are counted as rows: equal vec_ids are told apart by a row number. Empty tables
-give no rows; extra columns are ignored.
+nothing. Repeated rows are counted as rows: equal (or null) vec_ids are told apart by a row number. A component without any vec_id
+has none, and is not kept. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +110,9 @@ def cells(unit: np.ndarray, scale: float = SCALE) -> np.ndarray:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, label, embedding to row, label, dim, unit vector (doubles), cells."""
+    """row, label, embedding to row, vec_id, label, dim, unit vector (doubles), and the key of its class."""
+    from hashlib import md5
+
     for batch in batches:
         vectors = batch.column("embedding").to_pylist()
         by_dim: dict[int, list[int]] = {}
@@ -115,13 +120,24 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_dim.setdefault(len(v), []).append(i)
         for dim, at in by_dim.items():
             x = np.array([vectors[i] for i in at], dtype=np.float64)
-            unit = x / np.linalg.norm(x, axis=1)[:, None]
-            c = cells(unit)
+            # scaled first, so that squares neither overflow nor vanish; + 0.0 makes a negative zero one with zero
+            x /= np.abs(x).max(axis=1)[:, None]
+            unit = [u.tobytes() for u in x / np.sqrt((x * x).sum(axis=1))[:, None] + 0.0]
             take = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays(
-                [take.column("row"), take.column("label"), pa.array([dim] * len(at), pa.int32()), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array([k.tobytes() for k in c], pa.binary())],
-                ["row", "label", "dim", "unit", "cells"],
-            )
+            keys = [md5(f"{dim} {label}".encode() + u).digest() for label, u in zip(take.column("label").to_pylist(), unit, strict=True)]
+            yield pa.RecordBatch.from_arrays([take.column("row"), take.column("vec_id"), take.column("label"), pa.array([dim] * len(at), pa.int32()), pa.array(unit, pa.binary()), pa.array(keys, pa.binary())], ["row", "vec_id", "label", "dim", "unit", "key"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the cells of each class."""
+    for batch in batches:
+        dims, unit = batch.column("dim").to_numpy(), batch.column("unit").to_pylist()
+        out: list[bytes] = [b""] * len(unit)
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            for i, c in zip(at, cells(np.frombuffer(b"".join(unit[i] for i in at), dtype=np.float64).reshape(-1, int(dim))), strict=True):
+                out[i] = c.tobytes()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "cells"])
 
 
 def _first_meeting(ka: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +203,9 @@ def _compare(least: float):
         own, part = table.column("own").to_numpy(zero_copy_only=False), table.column("part").to_numpy()
         ij = (key[4].as_py(), key[5].as_py())
         a, b = _links(t, cell, xs, ks, rows, own, part, ij, least)
-        n = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
+        m = table.column("m").to_numpy()
+        n = np.bincount(a, weights=m[b], minlength=len(rows)) + np.bincount(b, weights=m[a], minlength=len(rows))
+        n = n.astype(np.int64)
         some = np.flatnonzero(n)
         trees = _forest(rows[a], rows[b])
         # counts and links in one table: (row, n, null) and (row, 0, other row)
@@ -202,8 +220,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.98
     rows = work.write(vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label")), "rows")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(fine).where(F.exists("embedding", lambda x: x != 0))
-    hashed = work.write(usable.select("row", "label", "embedding").mapInArrow(_hashes, "row long, label string, dim int, unit binary, cells binary"), "hashed")
-    return _linked(work, rows, hashed, least)
+    hashed = work.write(usable.select("row", "vec_id", "label", "embedding").mapInArrow(_hashes, "row long, vec_id long, label string, dim int, unit binary, key binary"), "hashed")
+    classes = hashed.groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("low"), *(F.first(c).alias(c) for c in ("label", "dim", "unit")))
+    classes = work.write(classes.mapInArrow(_cells, "key binary, row long, m long, low long, label string, dim int, unit binary, cells binary"), "classes")
+    linked = _linked(work, classes, least)
+    # each row to its class; what links with nothing is its own component
+    named = hashed.select("row", "key").join(linked, "key").select("row", "n_links", "component_id")
+    out = rows.select("row", "vec_id").join(named, "row", "left").withColumn("component_id", F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +243,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(ks.reshape(-1)), batch.column("label").take(at), batch.column("dim").take(at), batch.column("row").take(at), pa.array(own)], ["t", "cell", "label", "dim", "row", "own"])
 
 
-def _linked(work: Scratch, rows: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
+def _linked(work: Scratch, hashed: DataFrame, least: float) -> DataFrame:
+    """(key, n_links, component_id) of the classes; ``row`` stands for a class."""
     key = ["t", "cell", "label", "dim"]
     each = work.write(hashed.mapInArrow(_spread, "t int, cell long, label string, dim int, row long, own boolean"), "each")
     sizes = each.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.count_if("own").alias("o")).where("m > 1 and o > 0")
@@ -228,16 +253,16 @@ def _linked(work: Scratch, rows: DataFrame, hashed: DataFrame, least: float) ->
     # A part meets every part, itself included: one task for each two of them.
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     met = met.select(*key, "row", "own", "part", F.explode(pairs).alias("p"))
-    full = met.join(hashed.select("row", "unit", "cells"), "row").select("t", "cell", "label", "dim", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "row", "own", "part", "unit", "cells")
+    full = met.join(hashed.select("row", "m", "unit", "cells"), "row").select("t", "cell", "label", "dim", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "row", "own", "part", "m", "unit", "cells")
     found = work.write(full.groupBy("t", "cell", "label", "dim", "i", "j").applyInArrow(_compare(least), "row long, n long, other long"), "found")
     work.drop(each, sizes)
     counts = found.where("n > 0").groupBy("row").agg(F.sum("n").alias("n_links"))
     roots = connected_components(work, found.where("other is not null").select(F.col("row").alias("a"), F.col("other").alias("b")))
-    named = rows.select("row", "vec_id").join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "vec_id", F.coalesce("root", "row").alias("root"))
+    named = hashed.select("row", "key", "m", "low").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     named = work.write(named, "named")
-    ids = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
     out = named.join(ids, "root").join(counts, "row", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return out.select("key", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,6 +399,25 @@ def test_lattice_links(spark):
     assert all(r["kept"] == (k == r["component_id"]) for k, r in got.items())
 
 
+def test_lattice_copies_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=12)
+    rows = [(i, (base + rng.normal(size=12) * 0.03).tolist(), 1) for i in range(80)] + [(1000 + i, base.tolist(), 1) for i in range(150)] + [(1000, base.tolist(), 1), (None, base.tolist(), 1), (3000, (-0.0 * base + base * 4).tolist(), 1), (4000, base.tolist(), 2)]
+    rows += [(5000 + i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(40, 12)))]
+    monkeypatch.setattr(lattice, "BLOCK", 16)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, row int")
+    got = collections.Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_duplicates(spark, df).collect())
+    u = np.array([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    link = (u @ u.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows]))
+    np.fill_diagonal(link, False)
+    low = np.array([10**9 if r[0] is None else r[0] for r in rows])
+    for _ in range(20):
+        low = np.minimum(low, np.where(link, low, 10**9).min(axis=1))
+    assert got == collections.Counter((r[0], int(n), int(c), r[0] == c) for r, n, c in zip(rows, link.sum(axis=1), low, strict=True))
+    assert lattice.near_duplicates(spark, df.limit(0)).count() == 0
+
+
 # 6 -------------------------------------------------------------------------------------------------------------
 
 
