@@ -2,9 +2,10 @@
 
 Terms are the lower-cased words of a text and their first PREFIX letters (which reach inflected and
 compounded forms), hashed to 64 bits. From a bounded sample of labelled rows Spark counts in how many
-toxic and other texts each term occurs; the MAX_TERMS most telling ones (likelihood ratio) become the
-inputs of the machine: bias + sum of w[i] + sum over pairs of <v[i], v[j]>, so two terms that are harmless
-alone can be toxic together. It is trained on the same sample by adaptive gradient steps on the driver,
+toxic and other texts each term occurs; the MAX_TERMS most telling ones (likelihood ratio) become inputs of
+the machine, and so do the terms of the MAX_PAIRS most telling pairs: of the PAIR_TERMS terms that occur in most sampled texts, pairs
+whose share of toxic texts lies PAIR_Z standard errors off what the two terms alone would add up to, so terms that
+tell nothing alone are found by what they say together. Score: bias + sum of w[i] + sum over pairs of <v[i], v[j]>. It is trained on the same sample by adaptive gradient steps on the driver,
 whose memory the sample's bound bounds. Every whole text is then scored; a word is looked up once per worker.
 
 Null and empty texts get the score of a text without terms. Several labels of one document count once, as
@@ -32,6 +33,8 @@ PREFIX, FACTORS, STEPS, BATCH = 5, 8, 2_000, 256
 RATE, DECAY, SEED = 0.05, 2e-5, 7
 #: A term must occur in so many sampled texts and reach this likelihood ratio.
 MIN_DOCS, MIN_RATIO = 4, 15.0
+#: Terms whose pairs are counted (8 bytes for each pair, on the driver), pairs that become inputs, and how far off they are.
+PAIR_TERMS, MAX_PAIRS, PAIR_Z, PAIR_DOCS = 2_048, 512, 6.0, 20
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -113,6 +116,31 @@ class Lookup:
         return np.fromiter(found, np.int64, len(found))
 
 
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, n_terms: int) -> np.ndarray:
+    """The terms in pairs whose share of toxic texts is far from what both terms alone add up to (in log odds)."""
+    sums = np.zeros((2, n_terms, n_terms), dtype=np.float32)
+    for label in (0, 1):
+        at = np.flatnonzero(y == label)
+        for lo in range(0, len(at), 512):
+            x = np.zeros((min(512, len(at) - lo), n_terms), dtype=np.float32)
+            for i, k in enumerate(at[lo : lo + 512]):
+                x[i, rows[k]] = 1.0
+            sums[label] += x.T @ x
+    toxic, n = sums[1], sums[0] + sums[1]
+    logit = lambda a, b: np.log((a + 0.5) / (b - a + 0.5))
+    base = logit((y == 1).sum(), len(y))
+    alone = logit(toxic.diagonal(), n.diagonal()) - base
+    share = 1 / (1 + np.exp(-(base + alone[:, None] + alone)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = np.abs(toxic - n * share) / np.sqrt(n * share * (1 - share))
+    # a pair that always comes together says what one of the two says
+    z[(n < PAIR_DOCS) | (n > 0.9 * np.minimum(n.diagonal()[:, None], n.diagonal()))] = 0
+    i, j = np.triu_indices(n_terms, 1)
+    far = np.flatnonzero(z[i, j] >= PAIR_Z)
+    far = far[np.argsort(-z[i[far], j[far]], kind="stable")][:MAX_PAIRS]
+    return np.unique(np.concatenate([i[far], j[far]]))
+
+
 def _inputs(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(terms.value)
@@ -187,10 +215,21 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Colum
     ratio = 2 * (log(a, seen * pos / all_rows) + log(b, seen * neg / all_rows) + log(F.lit(pos) - a, (F.lit(all_rows) - seen) * pos / all_rows) + log(F.lit(neg) - b, (F.lit(all_rows) - seen) * neg / all_rows))
     telling = counts.where((seen >= MIN_DOCS) & (seen < all_rows)).select("term", ratio.alias("g")).where(F.col("g") >= MIN_RATIO)
     terms = np.array([r["term"] for r in telling.orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()], dtype=np.int64)
-    sample = texts.mapInArrow(_inputs(spark.sparkContext.broadcast(terms)), "toxic int, inputs binary").toArrow()
+    often = counts.where((seen >= PAIR_DOCS) & (seen <= 0.95 * all_rows)).select("term", seen.alias("n")).orderBy(F.desc("n"), "term").limit(PAIR_TERMS)
+    often = np.array([r["term"] for r in often.collect()], dtype=np.int64)
+    every = np.concatenate([terms, often[~np.isin(often, terms)]])
+    sample = texts.mapInArrow(_inputs(spark.sparkContext.broadcast(every)), "toxic int, inputs binary").toArrow()
     inputs = [np.frombuffer(x.as_buffer(), dtype="<u2").astype(np.int64) for x in sample.column("inputs")]
+    y = sample.column("toxic").to_numpy().astype(np.float64)
     work.drop(pick, texts)
-    return train(terms, inputs, sample.column("toxic").to_numpy().astype(np.float64), share)
+    place = np.full(len(every), -1, np.int64)
+    place[np.flatnonzero(np.isin(every, often))] = np.arange(len(often))
+    own = np.flatnonzero(place >= 0)
+    pairs = own[telling_pairs([p[p >= 0] for p in (place[x] for x in inputs)], y, len(often))] if len(often) else own
+    chosen = np.union1d(np.arange(len(terms)), pairs)
+    new = np.full(len(every), -1, np.int64)
+    new[chosen] = np.arange(len(chosen))
+    return train(every[chosen], [p[p >= 0] for p in (new[x] for x in inputs)], y, share)
 
 
 def _score(machine, keys: list[str]):

@@ -462,6 +462,45 @@ def test_toxicity_learns_a_pair(spark):
     assert len({r["score"] for r in alone}) == 1
 
 
+def test_toxicity_learns_a_pair_that_tells_nothing_alone(spark):
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([prose(rng, 12), *(["oneword"] if a else []), *(["otherword"] if b else [])]), None, None))
+        labels.append((i, 1 if a == b else 0))  # each of the words stands in as many toxic as other texts
+    docs = documents(spark, rows).withColumn("score", F.lit("clash"))
+    out = {r["doc_id"]: r for r in toxicity.classify(spark, docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(out[i]["predicted"], y) for i, y in labels if out[i]["held_out"]]
+    assert sum(p == y for p, y in held) / len(held) > 0.95
+
+
+def test_toxicity_scores_equal_a_double_loop(spark):
+    rng = np.random.default_rng(27)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    terms = np.array([toxicity.terms_of(w)[0] for w in words], dtype=np.int64)
+    m = toxicity.Machine(terms, -0.3, rng.normal(size=12), rng.normal(size=(12, 4)))
+    texts = [" ".join(rng.choice(words, size=k)) + " unknown" for k in (0, 1, 2, 9, 40)] + ["", words[0] + "\n" + words[1].upper()]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)] + [(None, None, None, None)]
+    shared = spark.sparkContext.broadcast(m)
+    got = {r["doc_id"]: r["score"] for r in documents(spark, rows).select("doc_id", "text").mapInArrow(toxicity._score(shared, ["doc_id"]), "doc_id long, score double, predicted int").collect()}
+    for i, text in [*enumerate(texts), (None, "")]:
+        at = [k for k, w in enumerate(words) if w in text.lower().split()]
+        z = m.bias + sum(m.w[k] for k in at) + sum(float(m.v[a] @ m.v[b]) for a in at for b in at if a < b)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    assert toxicity.classify(spark, empty(spark), labels).count() == 0
+
+
+def test_toxicity_gradients_descend():
+    rng = np.random.default_rng(37)
+    rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(400)]
+    y = np.array([float(0 in r and 1 in r) for r in rows])
+    m = toxicity.train(np.arange(6), rows, y, y.mean())
+    assert ((np.array([m.score(r) for r in rows]) >= 0.5) == y).mean() > 0.99
+    assert set(toxicity.telling_pairs(rows * 3, np.tile(y, 3), 6)) >= {0, 1}
+
+
 # 8 -------------------------------------------------------------------------------------------------------------
 
 
