@@ -7,18 +7,19 @@
    are largest, which is the centre of a group of near copies) stands for the bucket, and the others are
    compared with it only. Links found this way join most of a group in one round, without its pairs.
 3. What stays apart around one representative may still link with each other. For these groups the members outside
-   the largest component meet all members, exactly: a task holds two blocks of whole shingle sets, an inverted index
-   of the sets (of the absences, for shingles that most of them have, so near copies cost their differences only), and
-   emits a spanning forest of the links. Groups of any size are cut into blocks; no pair becomes a row.
-4. A comparison with a representative is sequential: signatures are compared in batches of BATCH positions, and after
-   each one the pair is dropped if the posterior probability that its similarity reaches the threshold is below
-   ``miss`` (uniform prior, so the posterior is a binomial tail). Survivors are verified exactly on their whole
-   shingle sets, in integers.
+   the largest component meet all members: a task holds two blocks of signatures and whole shingle sets, and emits a
+   spanning forest of the links. Groups of any size are cut into blocks; no pair becomes a row.
+4. Every comparison, with a representative or in a block, is sequential: signatures are compared in batches of BATCH
+   positions, and after each one the pair is dropped if the posterior probability that its similarity reaches the
+   threshold is below ``miss`` (uniform prior, so the posterior is a binomial tail). Survivors are verified exactly on
+   their whole shingle sets, in integers (in a block that has many by an inverted index of the sets, or of the absences, for
+   shingles that most of them have, so near copies cost their differences only).
 5. Components of the links come from repeated contraction.
 
 Null, empty and white-space texts have no shingles, link with nothing and are kept. Texts with fewer
 words than a shingle are one shingle. Rows that repeat a doc_id are rows of one document id: each is
-returned, and equal texts are linked as always. Empty tables give no rows; extra columns are ignored.
+returned, and equal texts are linked as always. Rows with a null doc_id link like others; a component of such rows only has a
+null component_id, and they are kept. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ MISS = 1e-7
 SEED = 20_240_601
 #: Bytes of shingle sets on either side of a block, and sets, about.
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 4_096
+#: Up to so many survivors of a set are verified one by one.
+FEW = 48
 CACHE_WORDS, CACHE_BYTES = 400_000, 48
 
 
@@ -133,7 +136,7 @@ def _sign(words: int, bands: int, rows: int):
                         recent[key] = signature(s, mult).tobytes()
                     keys.append(key)
                     sigs.append(recent[key] if key else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, len(texts)) for c in ("doc_id", "place")), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "place", "n_shingles", "node", "sig"])
 
     return run
 
@@ -148,8 +151,24 @@ def least_matches(n: int, t: float, miss: float) -> int:
     return n + 1
 
 
+def _steps(t: float, size: int, miss: float) -> list[tuple[int, int]]:
+    """(positions compared, fewest matches to go on) after each batch."""
+    return [(e, least_matches(e, t, miss)) for e in range(BATCH, size + 1, BATCH)]
+
+
+def survivors(one: np.ndarray, many: np.ndarray, among: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Of the signatures ``many`` at ``among``, those that the sequential comparison with ``one`` leaves."""
+    hits, done = np.zeros(len(among), np.int64), 0
+    for end, least in steps:
+        if not len(among):
+            break
+        hits += (many[among, done:end] == one[done:end]).sum(axis=1)
+        among, hits, done = among[hits >= least], hits[hits >= least], end
+    return among
+
+
 def _prune(t: float, size: int, miss: float):
-    steps = [(e, least_matches(e, t, miss)) for e in range(BATCH, size + 1, BATCH)]
+    steps = _steps(t, size, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,10 +222,13 @@ class _Finder:
         self.work = Scratch(spark, "minhash")
         self.words, self.num, self.den, self.miss = words, num, den, miss
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.docs = rows
-        self.signed = self.work.write(rows.mapInArrow(_sign(words, BANDS, ROWS), "doc_id long, n_shingles long, node binary, sig binary"), "signed")
-        #: one row per class of equal sets: its least doc_id and its signature
-        self.classes = self.work.write(self.signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+        # the text's hash tells rows with a null doc_id apart
+        self.docs = rows.withColumn("place", F.xxhash64("text"))
+        self.signed = self.work.write(self.docs.mapInArrow(_sign(words, BANDS, ROWS), "doc_id long, place long, n_shingles long, node binary, sig binary"), "signed")
+        #: one row per class of equal sets: its least doc_id (a null one only if there is no other), where its text is, and its signature
+        where = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("w")
+        classes = self.signed.where(F.col("node").isNotNull()).groupBy("node").agg(where, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        self.classes = self.work.write(classes.select("node", "w.doc_id", "w.place", "n_shingles", "sig"), "classes")
 
     def members(self) -> DataFrame:
         """(bucket, node, pop) of buckets with two classes at least."""
@@ -222,8 +244,9 @@ class _Finder:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles) of the given nodes, from their whole texts."""
-        ids = self.classes.join(nodes, "node", "left_semi").select("doc_id", "node")
-        sets = self.docs.join(ids, "doc_id").select("node", "text").mapInArrow(_shingles(self.words), "node binary, shingles binary")
+        ids = self.classes.join(nodes, "node", "left_semi").select("doc_id", "place", "node").alias("i")
+        same = [F.col("d.place") == F.col("i.place"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))]
+        sets = self.docs.alias("d").join(ids, same).select("node", "text").mapInArrow(_shingles(self.words), "node binary, shingles binary")
         return self.work.write(sets.dropDuplicates(["node"]), "sets")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
@@ -268,45 +291,68 @@ class _Finder:
         every = met.select("rep", "node", "root", F.lit(False).alias("few"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(h, F.col("cols")).cast("int").alias("j"))
         blocks = self.work.write(few.unionByName(every), "blocks")
         sets = self.sets(blocks.select("node"))
-        found = blocks.join(sets, "node").groupBy("rep", "i", "j").applyInArrow(_meet(self.num, self.den), "a binary, b binary")
+        steps = _steps(self.num / self.den, BANDS * ROWS, self.miss)
+        both = blocks.join(sets.join(self.classes.select("node", "sig"), "node"), "node")
+        found = both.groupBy("rep", "i", "j").applyInArrow(_meet(self.num, self.den, steps), "a binary, b binary")
         found = self.work.write(found, "links")
         self.work.drop(group, plan, blocks, sets)
         return found
 
 
-def meet(rows: list[np.ndarray], row_roots: list, cols: list[np.ndarray], col_roots: list, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """(row, column) of the sets in different components that link, by an inverted index of the columns."""
-    sizes = np.array([len(c) for c in cols], dtype=np.int64)
-    owner = np.repeat(np.arange(len(cols)), sizes)
-    values, inverse, counts = np.unique(np.concatenate(cols), return_inverse=True, return_counts=True)
-    owner = owner[np.argsort(inverse, kind="stable")]
-    ends = np.cumsum(counts)
-    most = counts * 2 > len(cols)
-    everyone = np.arange(len(cols))
-    lacking = {int(v): np.setdiff1d(everyone, owner[ends[v] - counts[v] : ends[v]], assume_unique=True) for v in np.flatnonzero(most)}
+class Index:
+    """Sets by their members, and by the members they lack where most have them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(c) for c in sets], dtype=np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.values, inverse, self.counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.owner = owner[np.argsort(inverse, kind="stable")]
+        self.ends = np.cumsum(self.counts)
+        self.most = self.counts * 2 > len(sets)
+        everyone = np.arange(len(sets))
+        self.lacking = {int(v): np.setdiff1d(everyone, self.having(v), assume_unique=True) for v in np.flatnonzero(self.most)}
+
+    def having(self, v: int) -> np.ndarray:
+        return self.owner[self.ends[v] - self.counts[v] : self.ends[v]]
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        """How many members of ``x`` each set has."""
+        at = np.searchsorted(self.values, x)
+        at[at == len(self.values)] = 0
+        at = at[self.values[at] == x]
+        common, rare = at[self.most[at]], at[~self.most[at]]
+        both = np.full(len(self.sizes), len(common), dtype=np.int64)
+        if len(common):
+            both -= np.bincount(np.concatenate([self.lacking[int(v)] for v in common]), minlength=len(both))
+        if len(rare):
+            both += np.bincount(np.concatenate([self.having(v) for v in rare]), minlength=len(both))
+        return both
+
+
+def meet(rows: list[np.ndarray], row_sigs: np.ndarray, row_roots: list, cols: list[np.ndarray], col_sigs: np.ndarray, col_roots: list, num: int, den: int, steps: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(row, column) of the sets in different components that link: signatures sequentially, then whole sets."""
     names = {r: k for k, r in enumerate(dict.fromkeys([*row_roots, *col_roots]))}
     col_root = np.array([names[r] for r in col_roots])
+    sizes = np.array([len(c) for c in cols])
+    index = None
     for i, x in enumerate(rows):
-        at = np.searchsorted(values, x)
-        at[at == len(values)] = 0
-        at = at[values[at] == x]
-        common = at[most[at]]
-        both = np.full(len(cols), len(common), dtype=np.int64)
-        if len(common):
-            both -= np.bincount(np.concatenate([lacking[int(v)] for v in common]), minlength=len(cols))
-        rare = at[~most[at]]
-        if len(rare):
-            both += np.bincount(np.concatenate([owner[ends[v] - counts[v] : ends[v]] for v in rare]), minlength=len(cols))
-        link = (den * both >= num * (len(x) + sizes - both)) & (col_root != names[row_roots[i]])
-        for j in np.flatnonzero(link):
+        near = (col_root != names[row_roots[i]]) & (den * np.minimum(sizes, len(x)) >= num * np.maximum(sizes, len(x)))
+        left = survivors(row_sigs[i], col_sigs, np.flatnonzero(near), steps)
+        if len(left) > FEW:
+            index = index or Index(cols)
+            both = index.shared(x)[left]
+        else:
+            both = np.array([len(np.intersect1d(x, cols[j], assume_unique=True)) for j in left], dtype=np.int64)
+        for j in left[den * both >= num * (len(x) + sizes[left] - both)]:
             yield i, int(j)
 
 
-def _meet(num: int, den: int):
+def _meet(num: int, den: int, steps: list[tuple[int, int]]):
     def run(key, table):
         few = table.column("few").to_numpy(zero_copy_only=False)
         nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
         sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u4").reshape(len(nodes), -1)
         row, col = np.flatnonzero(few), np.flatnonzero(~few)
         parent: dict[bytes, bytes] = {}
 
@@ -318,7 +364,7 @@ def _meet(num: int, den: int):
 
         out = []
         if len(row) and len(col):
-            for i, j in meet([sets[k] for k in row], [roots[k] for k in row], [sets[k] for k in col], [roots[k] for k in col], num, den):
+            for i, j in meet([sets[k] for k in row], sigs[row], [roots[k] for k in row], [sets[k] for k in col], sigs[col], [roots[k] for k in col], num, den, steps):
                 # one link joins two components for good
                 a, b = top(roots[row[i]]), top(roots[col[j]])
                 if a != b:
@@ -338,8 +384,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, num: i
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = joined.join(least, "root").select("node", "component_id")
     rows = f.signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -547,14 +547,41 @@ def test_least_matches_is_the_posterior_tail():
         assert tail(m) >= 1e-7 > (tail(m - 1) if m else 0)
 
 
-def test_blocks_of_sets_meet_exactly():
+def test_blocks_of_sets_meet_exactly(monkeypatch):
     rng = np.random.default_rng(3)
     core = rng.integers(0, 2**60, 100, dtype=np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(core, 100 - k, replace=False), rng.integers(0, 2**60, k, dtype=np.uint64)])) for k in range(0, 20)]
     roots = list(range(20))
-    got = set(minhash.meet(sets, roots, sets, roots, 85, 100))
+    mult = minhash._odd(minhash.BANDS * minhash.ROWS, minhash.SEED)
+    sigs = np.array([minhash.signature(x, mult) for x in sets])
     want = {(i, j) for i in roots for j in roots if i != j and 100 * len(a := np.intersect1d(sets[i], sets[j])) >= 85 * (len(sets[i]) + len(sets[j]) - len(a))}
-    assert got == want
+    for few in (0, 1000):
+        monkeypatch.setattr(minhash, "FEW", few)
+        assert set(minhash.meet(sets, sigs, roots, sets, sigs, roots, 85, 100, minhash._steps(0.85, minhash.BANDS * minhash.ROWS, 1e-7))) == want
+
+
+def test_minhash_blocks_hold_what_stays_apart(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 5)
+    rng = random.Random(28)
+    shared = prose(rng, 80)  # a passage that many texts have; some of them are near copies of each other
+    rows = []
+    for i in range(30):
+        own = prose(rng, 40).split()
+        for k in range(2):
+            w = list(own)
+            w[rng.randrange(40)] = f"x{i}{k}"
+            rows.append((100 * i + k, shared + " " + " ".join(w)))
+    rows += [(5000, shared), (5001, "w " * 200_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
+    assert got == brute_components(rows, 3, 85, 100)
+
+
+def test_minhash_null_ids(spark):
+    rng = random.Random(38)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(None, a), (None, a + " more"), (None, b), (4, b + " more"), (None, c), (None, None), (9, None)]
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect())
+    assert got == {(None, None, True): 4, (None, 4, False): 1, (4, 4, True): 1, (9, 9, True): 1}
 
 
 # 9 -------------------------------------------------------------------------------------------------------------
