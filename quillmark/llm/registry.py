@@ -3,30 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
-from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.llm import ann, chat, langid, lattice, minhash, mixing, packing, pii, toxicity, warc
+
 #: Query name -> module that has ``query(spark, sf_dir)`` and perhaps ``ORACLE_SQL``.
 MODULES = {
-    "op1_language_id": "langid",
-    "op2_warc_index": "warc",
-    "op3_pii_patterns": "pii",
-    "op4_pfair_mix": "mixing",
-    "op5_lattice_neardup": "lattice",
-    "op6_chat_prefix_targets": "chat",
-    "op7_toxicity_fm": "toxicity",
-    "op8_minhash_neardup": "minhash",
-    "op9_posting_ann": "ann",
-    "op10_pack_tokens": "packing",
+    "op1_language_id": langid,
+    "op2_warc_index": warc,
+    "op3_pii_patterns": pii,
+    "op4_pfair_mix": mixing,
+    "op5_lattice_neardup": lattice,
+    "op6_chat_prefix_targets": chat,
+    "op7_toxicity_fm": toxicity,
+    "op8_minhash_neardup": minhash,
+    "op9_posting_ann": ann,
+    "op10_pack_tokens": packing,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: import_module(f"quillmark.llm.{module}").query for name, module in MODULES.items() if find_spec(f"quillmark.llm.{module}")}
+    return {name: module.query for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"quillmark.llm.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items() if find_spec(f"quillmark.llm.{module}")}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: module.ORACLE_SQL for name, module in MODULES.items() if hasattr(module, "ORACLE_SQL")}

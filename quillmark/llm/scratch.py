@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
 A written table cuts lineage and survives a lost executor: the folder in ``spark.checkpoint.dir`` is
-visible to the driver and all executors. Only where that setting is absent (tests, a laptop) a
-temporary folder of this machine is used.
+visible to the driver and all executors. Only where that setting is absent and the master is local
+(tests, a laptop) a temporary folder of this machine is used; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         key = spark.sparkContext.applicationId
         base = _OWN.setdefault(key, "file://" + tempfile.mkdtemp(prefix="quillmark-"))
     return base.rstrip("/")
