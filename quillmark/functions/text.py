@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no weight in tokenization.
@@ -22,22 +22,43 @@ def blank(c: Text) -> Column:
 
 
 def normalize_text(c: Text) -> Column:
-    """Lower case; everything but a-z, 0-9, CJK ideographs and white space becomes a space; spaces collapse."""
-    kept = F.regexp_replace(F.lower(blank(c)), f"[^a-z0-9{CJK}\\s]", " ")
-    return F.trim(F.regexp_replace(kept, "[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{3000}]+", " "))
+    """Lower case; runs of anything but a-z, 0-9 and CJK ideographs (white space too) become one space.
+
+    A class with ideographs makes the JVM's matcher several times slower, so only texts that hold some are matched with it.
+    """
+    x = F.lower(blank(c))
+    plain, with_cjk = F.regexp_replace(x, "[^a-z0-9]+", " "), F.regexp_replace(x, f"[^a-z0-9{CJK}]+", " ")
+    return F.trim(F.when(is_ascii(x) | ~x.rlike(f"[{CJK}]"), plain).otherwise(with_cjk))
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def _pieces(chunk: Column) -> Column:
+    """The Latin words and CJK bigrams of a chunk without spaces."""
+
+    def of_run(x: Column) -> Column:
+        n = F.length(x)
+        pairs = F.when(n == 1, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
+        return F.when(x.rlike(f"^[{CJK}]"), pairs).when(x.isin(STOPWORDS), F.array().cast("array<string>")).otherwise(F.array(x))
+
+    return F.flatten(F.transform(F.regexp_extract_all(chunk, F.lit(f"[{CJK}]+|[a-z0-9]+"), F.lit(0)), of_run))
 
 
 def tokenize(c: Text) -> Column:
     """Latin words without stop words, and the character bigrams of CJK runs (a single character stays); order and repeats are kept."""
-    runs = F.regexp_extract_all(normalize_text(c), F.lit(f"[{CJK}]+|[a-z0-9]+"), F.lit(0))
-    cjk = lambda x: x.rlike(f"^[{CJK}]")
+    norm = normalize_text(c)
+    latin = F.filter(F.split(norm, " "), lambda x: (F.length(x) > 0) & ~x.isin(STOPWORDS))
+    return F.when(is_ascii(norm), latin).otherwise(_pieces(norm))
 
-    def pieces(x: Column) -> Column:
-        n = F.length(x)
-        bigrams = F.when(n == 1, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
-        return F.when(cjk(x), bigrams).when(x.isin(STOPWORDS), F.array().cast("array<string>")).otherwise(F.array(x))
 
-    return F.flatten(F.transform(runs, pieces))
+def tokens(rows: DataFrame, text: Text, *keep: str) -> DataFrame:
+    """``keep`` and token, a row for each token: as ``tokenize``, by generators inside code generation instead of lambdas. A text without tokens has a row with a null."""
+    chunk = F.col("__chunk")
+    plain = F.when((F.length(chunk) == 0) | chunk.isin(STOPWORDS), F.lit(None)).otherwise(chunk)
+    x = rows.select(*keep, F.explode_outer(F.split(normalize_text(text), " ")).alias("__chunk"))
+    return x.select(*keep, F.explode_outer(F.when(is_ascii(chunk), F.array(plain)).otherwise(_pieces(chunk))).alias("token"))
 
 
 def bigrams(tokens: Text) -> Column:

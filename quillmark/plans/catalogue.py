@@ -67,7 +67,7 @@ def _share(a: str, b: str) -> str:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return A.table(spark, sf, "documents").select("doc_id", "text")
+    return A.spread(A.table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,7 +227,7 @@ def cosine_topk(spark, sf):
     SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r, doc_id) AS INTEGER) AS rank FROM z QUALIFY rank <= 5""",
 )
 def hybrid_topk(spark, sf):
-    return retrieve.hybrid(_bm25(spark, sf, 10), _cosine(spark, sf, 10), "doc_id", 5)
+    return retrieve.hybrid_search(_docs(spark, sf), "doc_id", T, _claims(spark, sf), Q, 5)
 
 
 _OVER = f"""
@@ -247,7 +247,7 @@ def overlap_topk(spark, sf):
     SELECT query_id, doc_id, score, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
 )
 def multi_source_topk(spark, sf):
-    hits = retrieve.overlap_search(_docs(spark, sf), "doc_id", T, _claims(spark, sf), Q, 2_147_483_647).drop("rank")
+    hits = retrieve.overlap_scores(_docs(spark, sf), "doc_id", T, _claims(spark, sf), Q).where("score > 0")
     return retrieve.multi_source(hits.join(A.table(spark, sf, "documents").select("doc_id", "source"), "doc_id"), "doc_id", "source", 3, 5).select("query_id", "doc_id", "score", "source", "rank")
 
 

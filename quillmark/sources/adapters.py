@@ -116,3 +116,9 @@ SELECT doc_id AS case_id,
   CASE WHEN n_chars > 2000 THEN 'full_text' WHEN n_chars > 500 THEN 'abstract' ELSE 'title' END AS evidence_scope,
   CASE doc_id % 4 WHEN 0 THEN 'hard_negative' WHEN 1 THEN 'direct' WHEN 2 THEN 'weak' ELSE 'contradiction' END AS case_type
 FROM labels JOIN documents USING (doc_id)"""
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than the session has cores is dealt over all of them, so that work on whole texts is not one task's."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
