@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,7 +26,10 @@ def cascade(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     first = lambda key: corpus.select(key.alias("k"), "doc_id").where(F.length("k") > 0).groupBy("k").agg(F.min("doc_id").alias("hit"))
     x = candidates.select("cand_id", normalize_doi("doi").alias("d"), normalize_arxiv("arxiv_id").alias("a"), normalize_text("title").alias("t"))
     for name, key in (("d", normalize_doi("doi")), ("a", normalize_arxiv("arxiv_id")), ("t", normalize_text("title"))):
-        x = x.join(first(key).withColumnsRenamed({"k": name, "hit": f"h{name}"}), name, "left")
+        # most candidates lack most keys: instead of '' they get a key of their own that matches nothing, so no partition holds them all
+        asked = F.when(F.length(name) > 0, F.col(name)).otherwise(F.concat(F.lit("\u0000"), F.col("cand_id").cast("string")))
+        x = x.withColumn("__k", asked).join(first(key).withColumnsRenamed({"k": "__k", "hit": f"h{name}"}), "__k", "left").drop("__k")
+    x = x.persist(StorageLevel.MEMORY_AND_DISK)  # one small row for each candidate, read again for those left
     left = x.where(F.coalesce("hd", "ha", "ht").isNull() & (F.length("t") > 0)).select("t", F.col("t").alias("asked")).distinct()
     titles = first(normalize_text("title")).select("hit", F.col("k").alias("name"))
     similar = blocked_pairs(left, "t", "asked", titles, "hit", "name", SIMILAR).groupBy("t").agg(F.min_by("hit", F.struct(-F.col("score"), "hit")).alias("hs"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -65,14 +66,14 @@ def _needed(least: float, q: int, total: Column) -> Column:
 def blocked_pairs(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str, least: float) -> DataFrame:
     """(lkey, rkey, ltext, rtext, score) of all pairs with a ratio of at least ``least`` (above 0).
 
-    Distinct normalised strings are compared once. Of two strings that need n shared grams, the first len - n + 1 in one
+    Distinct normalised strings are compared once; they and their grams are read several times and cached. Of two strings that need n shared grams, the first len - n + 1 in one
     order of all grams, the rarest first, have one in common, so a join on those loses no pair. Grams are
     characters, or pairs of them where the threshold leaves enough to share.
     """
     q = 2 if least >= 0.8 else 1
     a = left.select(lkey, F.col(ltext).alias("__a"), normalize_text(ltext).alias("__na"))
     b = right.select(rkey, F.col(rtext).alias("__b"), normalize_text(rtext).alias("__nb"))
-    texts = {side: x.select(F.col(name).alias("t")).where(F.length("t") > 0).distinct().withColumn("g", _grams(q)("t")) for side, x, name in (("a", a, "__na"), ("b", b, "__nb"))}
+    texts = {side: x.select(F.col(name).alias("t")).where(F.length("t") > 0).distinct().withColumn("g", _grams(q)("t")).persist(StorageLevel.MEMORY_AND_DISK) for side, x, name in (("a", a, "__na"), ("b", b, "__nb"))}
     n = F.length("t")
     # lengths that fit are in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n")) / (math.log((2 - least) / least) + 1e-9))

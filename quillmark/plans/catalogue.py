@@ -287,10 +287,10 @@ UNION ALL SELECT cand_id, 'doi', {_doi("d")} = {_doi("cd")} FROM p WHERE d <> ''
 UNION ALL SELECT cand_id, 'arxiv_id', regexp_replace({_arxiv("x")}, 'v[0-9]+$', '') = regexp_replace({_arxiv("cx")}, 'v[0-9]+$', '') FROM p WHERE x <> '')"""
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, resolved=None):
     c = A.candidates(spark, sf).select("cand_id", F.struct("title", "authors", "year", "venue", "doi", "arxiv_id").alias("cand"))
     r = A.corpus(spark, sf).select("doc_id", F.struct("title", "authors", "year", "venue", "doi", "arxiv_id").alias("rec"))
-    return c.join(_resolved(spark, sf), "cand_id").join(r, "doc_id")
+    return c.join(_resolved(spark, sf) if resolved is None else resolved, "cand_id").join(r, "doc_id")
 
 
 @_query("field_diffs", f"WITH {_CASCADE}, {_FIELDS} SELECT * FROM f")
@@ -305,8 +305,9 @@ def field_diffs(spark, sf):
     CASE WHEN method = 'none' THEN 1.0 ELSE 1.0 END AS confidence, coalesce(mismatches, 0) AS mismatches FROM r LEFT JOIN m USING (cand_id)""",
 )
 def verify_citations(spark, sf):
-    bad = audit.field_diffs(_pairs(spark, sf)).groupBy("cand_id").agg(F.count_if(~F.col("matches")).alias("mismatches"))
-    x = _resolved(spark, sf).join(bad, "cand_id", "left").withColumn("mismatches", F.coalesce("mismatches", F.lit(0)).cast("long"))
+    resolved = _resolved(spark, sf).persist()
+    bad = audit.field_diffs(_pairs(spark, sf, resolved)).groupBy("cand_id").agg(F.count_if(~F.col("matches")).alias("mismatches"))
+    x = resolved.join(bad, "cand_id", "left").withColumn("mismatches", F.coalesce("mismatches", F.lit(0)).cast("long"))
     score = F.when(F.col("method") == "none", 0.0).otherwise(1.0)
     v = audit.verdict(score, F.lit(""), F.col("mismatches"))
     return x.select("cand_id", v.alias("verdict"), audit.confidence(v, score, F.lit("none")).alias("confidence"), "mismatches")
