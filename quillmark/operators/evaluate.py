@@ -117,3 +117,96 @@ def facet_caps(x: DataFrame, facet: str, order: list[Column], cap: int) -> DataF
     from pyspark.sql.window import Window
 
     return x.withColumn("rank", F.row_number().over(Window.partitionBy(facet).orderBy(*order))).where(F.col("rank") <= cap)
+
+
+#: Slices of the acceptance report, with severity and what to do where one is not clear.
+SLICES = {
+    "contradiction": ("critical", "inspect_contradiction_before_accepting_support"),
+    "hard_negative": ("critical", "rewrite_or_replace_evidence"),
+    "full_text_boundary": ("high", "inspect_full_text_or_find_stronger_citation"),
+    "test_split": ("high", "block_release_until_reviewed"),
+    "non_english": ("high", "review_language_specific_failure"),
+}
+
+
+def slices() -> Column:
+    """Names of the slices that a case is in; they overlap."""
+    tests = {
+        "contradiction": F.col("gold") == "contradicted",
+        "hard_negative": F.col("case_type") == "hard_negative",
+        "full_text_boundary": (F.col("case_type") == "full_text_required") | F.col("evidence_scope").isin("full_text", "mixed_with_full_text"),
+        "test_split": F.col("split") == "test",
+        "non_english": ~F.col("lang").isin("", "en"),
+    }
+    return F.array_compact(F.array(*(F.when(t, n) for n, t in tests.items())))
+
+
+def acceptance_slices(x: DataFrame) -> DataFrame:
+    """A row for every slice, also where no case is in it: counts, and clear, review_required or blocked."""
+    false = (F.col("pred") == "supported") & (F.col("gold") != "supported")
+    weak = (F.col("pred") == "weakly_supported") & ~F.col("gold").isin("supported", "weakly_supported")
+    g = x.select(F.explode(slices()).alias("slice"), false.alias("f"), weak.alias("w")).groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.count_if("f").alias("n_false"), F.count_if("w").alias("n_weak"))
+    every = x.sparkSession.createDataFrame([(k, *v) for k, v in SLICES.items()], "slice string, severity string, action string")
+    y = F.broadcast(every).join(g, "slice", "left").na.fill(0, ["n", "n_false", "n_weak"])  # five rows
+    status = F.when(F.col("n_false") > 0, "blocked").when(F.col("n_weak") > 0, "review_required").otherwise("clear")
+    return y.select("slice", "severity", status.alias("status"), "n", "n_false", "n_weak", F.when(status == "clear", "continue").otherwise(F.col("action")).alias("action"))
+
+
+def acceptance_guard(rows: DataFrame) -> DataFrame:
+    """One row: how many slices have each status, and the worst of them."""
+    n = lambda v: F.count_if(F.col("status") == v)
+    g = rows.agg(n("clear").alias("n_clear"), n("review_required").alias("n_review"), n("blocked").alias("n_blocked"))
+    return g.withColumn("status", F.when(F.col("n_blocked") > 0, "blocked").when(F.col("n_review") > 0, "review_required").otherwise("clear"))
+
+
+def support_metrics_all(x: DataFrame) -> DataFrame:
+    """The seventeen scalars in one row: those of ``support_metrics``, the overcall rate, and the averages over labels."""
+    pos = ("supported", "weakly_supported")
+    g, p = F.col("gold"), F.col("pred")
+    over = x.agg(share(F.count_if(p.isin(*pos) & ~g.isin(*pos)), F.count_if(~g.isin(*pos))).alias("support_overcall_rate"))
+    return support_metrics(x).crossJoin(over).crossJoin(averages(per_label(x)))  # one row each
+
+
+def verification_metrics(x: DataFrame) -> DataFrame:
+    """Accuracy, precision and recall of two verdicts, and the share of real works called not found; of gold and pred."""
+    g, p = F.col("gold"), F.col("pred")
+    n = F.count_if
+    out = [F.count(F.lit(1)).alias("n"), share(n(g == p), F.count(F.lit(1))).alias("accuracy")]
+    for label, name in (("not_found", "fabrication"), ("metadata_mismatch", "metadata_error")):
+        tp = n((g == label) & (p == label))
+        out += [share(tp, n(p == label)).alias(f"{name}_precision"), share(tp, n(g == label)).alias(f"{name}_recall")]
+    return x.agg(*out, share(n((g == "verified") & (p == "not_found")), n(g == "verified")).alias("false_accusation_rate"))
+
+
+def abstention(x: DataFrame, facets: list[str]) -> DataFrame:
+    """Abstentions that were right and wrong, by facet and value."""
+    rows = x.where(F.col("pred") == "insufficient_evidence").select("gold", F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.coalesce(F.nullif(f, F.lit("")), F.lit("unknown")).alias("value")) for f in facets))).alias("k"))
+    right = F.col("gold") == "insufficient_evidence"
+    return rows.groupBy("k.facet", "k.value").agg(F.count_if(right).alias("n_right"), F.count_if(~right).alias("n_wrong"))
+
+
+def queue_summary(queue: DataFrame) -> DataFrame:
+    """Cases of a review queue by severity, with the first ten."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("severity").orderBy(F.desc("first"), "case_type", "case_id")
+    few = queue.withColumn("r", F.row_number().over(w)).where("r <= 10").groupBy("severity").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "case_id"))), lambda s: s["case_id"].cast("string")), ",").alias("first_ten"))
+    return queue.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("n_test")).join(few, "severity")
+
+
+def config_ranking(configs: DataFrame, k: int) -> DataFrame:
+    """The k best configurations: F1, precision, false-support rate, accuracy and recall decide, then the parameters."""
+    one = F.lit(1)
+    fsr = F.round(F.col("fp") / F.greatest(F.col("fp") + F.col("tn"), one), 4)
+    acc = F.round((F.col("tp") + F.col("tn")) / F.greatest(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), one), 4)
+    x = configs.withColumns({"false_support_rate": fsr, "accuracy": acc})
+    return x.orderBy(F.desc("f1"), F.desc("prec"), "false_support_rate", F.desc("accuracy"), F.desc("recall"), "w", "threshold", "floor").limit(k)
+
+
+def release_status(maturity_ok: Column, blocked: Column, review: Column) -> Column:
+    return F.when(blocked, "blocked").when(~maturity_ok, "immature").when(review, "review_required").otherwise("clear")
+
+
+def review_coverage(x: DataFrame, reviewed: Column) -> DataFrame:
+    """Reviewed cases by language and case type, with all subtotals (null is all)."""
+    return x.withColumn("__r", reviewed).cube("lang", "case_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("__r").alias("n_reviewed")).withColumn("coverage", share(F.col("n_reviewed"), F.col("n")))

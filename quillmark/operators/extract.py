@@ -123,70 +123,95 @@ def bibtex_entries(text: str) -> list[dict[str, str]]:
 
 
 def windows(text: str, words: int = 80, most: int = 4) -> list[str]:
-    """Sentences packed into windows of at most ``words`` words, ``most`` of them; longer sentences are cut."""
-    out, now = [], []
-    for sentence in re.split(r"(?<=[.!?])\s+", " ".join(text.split())):
-        ws = sentence.split()
-        while ws:
-            if len(now) + len(ws) <= words:
-                now += ws
-                break
-            if now:
-                out.append(" ".join(now))
-                now = []
-            else:
-                out.append(" ".join(ws[:words]))
-                ws = ws[words:]
-    if now:
-        out.append(" ".join(now))
-    return out[:most]
+    """Sentences packed into windows of at most ``words`` words; a longer one is cut into windows of its own. The whole text follows unless it is one of them; of all, the first ``most``, each once."""
+    whole, out, held, n = " ".join(text.split()), [], [], 0
+
+    def close():
+        nonlocal held, n
+        if held:
+            out.append(" ".join(held))
+        held, n = [], 0
+
+    for sentence in re.split(r"(?<=[.!?])\s+", whole):
+        size = len(sentence.split())
+        if size > words:
+            close()
+            ws = sentence.split()
+            out.extend(" ".join(ws[i : i + words]) for i in range(0, size, words))
+        elif size:
+            if n + size > words:
+                close()
+            held.append(sentence)
+            n += size
+    close()
+    if whole and whole not in out:
+        out.append(whole)
+    return list({w.lower(): w for w in reversed(out[:most])}.values())[::-1]
+
+
+#: What is read of a page, and what the name of a description holds.
+HEADINGS, PARAGRAPHS, SKIPPED = ("h1", "h2", "h3"), ("p", "li", "blockquote"), ("script", "style", "svg", "noscript")
+DESCRIPTIONS = ("description", "abstract", "summary", "citation_", "dc.description")
 
 
 class _Page(HTMLParser):
+    """(field, text) of descriptions, headings and paragraphs; an element that opens inside another begins anew."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out, self.skip, self.field, self.text = [], 0, "", []
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag in ("script", "style", "nav", "noscript"):
+        if tag in SKIPPED:
             self.skip += 1
-        elif tag == "meta" and a.get("name", a.get("property", "")).lower() in ("description", "og:description", "citation_abstract"):
-            self.out.append(("meta", " ".join(a.get("content", "").split())))
-        elif tag in ("h1", "h2", "p"):
-            self.flush()
-            self.field = "paragraph" if tag == "p" else "heading"
+        elif tag == "meta":
+            a = {k: v for k, v in attrs if v}
+            name, content = f"{a.get('name', '')} {a.get('property', '')}".lower(), " ".join(a.get("content", "").split())
+            if content and any(d in name for d in DESCRIPTIONS):
+                self.out.append(("meta", content))
+        elif not self.skip and tag in (*HEADINGS, *PARAGRAPHS):
+            self.field, self.text = "heading" if tag in HEADINGS else "paragraph", []
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style", "nav", "noscript"):
-            self.skip = max(0, self.skip - 1)
-        elif tag in ("h1", "h2", "p"):
-            self.flush()
+        if tag in SKIPPED and self.skip:
+            self.skip -= 1
+        elif not self.skip and self.field and tag in (*HEADINGS, *PARAGRAPHS):
+            text = " ".join("".join(self.text).split())
+            if text:
+                self.out.append((self.field, text))
+            self.field, self.text = "", []
 
     def handle_data(self, data):
         if self.field and not self.skip:
             self.text.append(data)
 
-    def flush(self):
-        text = " ".join("".join(self.text).split())
-        if self.field and text:
-            self.out.append((self.field, text))
-        self.field, self.text = "", []
-
 
 def html_chunks(html: str, most: int = 6) -> list[tuple[str, str]]:
-    """(field, text): at most two descriptions and two headings, then paragraphs up to ``most``; each text once."""
+    """(field, text): the first window of two descriptions, of two headings (24 words) and of paragraphs, up to ``most``; each text once."""
     page = _Page()
     page.feed(html or "")
     page.close()
-    page.flush()
-    room, seen, out = {"meta": 2, "heading": 2, "paragraph": most}, set(), []
-    for field in ("meta", "heading", "paragraph"):
-        for f, text in page.out:
-            if f == field and text and text.lower() not in seen and room[f] and len(out) < most:
-                room[f] -= 1
-                seen.add(text.lower())
-                out.append((f, text))
+    of = lambda f: [t for g, t in page.out if g == f]
+    found = [("meta", t, 80) for t in of("meta")[:2]] + [("heading", t, 24) for t in of("heading")[:2]]
+    found += [("paragraph", t, 80) for t in of("paragraph")[: max(0, most - len(found))]]
+    out: dict[str, tuple[str, str]] = {}
+    for field, text, words in found:
+        for w in windows(text, words, 1):
+            out.setdefault(w.lower(), (field, w))
+    return list(out.values())[:most]
+
+
+def bibitems(text: str) -> list[dict[str, str]]:
+    r"""``\bibitem`` entries: key and cleaned text, up to the next one or the end of the list; what is no citation goes."""
+    out = []
+    for part in re.split(r"\\bibitem(?=[\[{])", text)[1:]:
+        m = re.match(r"(?:\[[^\]]*\])?\{([^}]*)\}", part)
+        if m:
+            body = part[m.end() :].split("\\end{thebibliography}")[0]
+            body = re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", re.sub(r"%[^\n]*", "", body))
+            body = " ".join(re.sub(r"\\[a-zA-Z]+", " ", re.sub(r"[{}]", "", body)).split())
+            if len(body) >= 20 and re.search(r"\b(?:19|20)[0-9]{2}\b|10\.[0-9]{4,9}/|arxiv", body, re.IGNORECASE):
+                out.append({"key": m[1].strip(), "raw_text": body})
     return out
 
 
@@ -203,3 +228,12 @@ def explode_with(df: DataFrame, key: str, text: str, fn, fields: str) -> DataFra
             yield pd.DataFrame(rows, columns=[key, "ord", *names])
 
     return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInPandas(run, f"{key} long, ord int, {fields}")
+
+
+def numbered(candidates: DataFrame, path: str, raw: str = "raw_text") -> DataFrame:
+    """Candidates of each manuscript, each text once (its first place): source_index from 1 and source_locator."""
+    from pyspark.sql.window import Window
+
+    first = candidates.withColumn("__k", F.lower(F.col(raw))).withColumn("__r", F.row_number().over(Window.partitionBy(path, "__k").orderBy("ord"))).where("__r = 1")
+    x = first.withColumn("source_index", F.row_number().over(Window.partitionBy(path).orderBy("ord"))).drop("__k", "__r")
+    return x.withColumn("source_locator", F.concat(F.col(path).cast("string"), F.lit("#citation-"), F.col("source_index").cast("string")))

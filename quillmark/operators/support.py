@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import bigrams, blank, collapse, normalize_text, overlap, split_sentences, tokenize
-
-#: Rule patterns on normalised text (claim, evidence), and cue words of contradiction.
-IMPROVES = "\\b(improves?|improved|increase[sd]?|increasing|boosts?|boosted|raises?|raised|gains?)\\b"
-NOT_IMPROVED = "\\b(?:does|do|did) +not +(?:improve|increase|boost|raise|gain)\\b|\\bnot +(?:improve|increase|boost|raise|gain)\\b|\\b(reduces?|reduced|decreases?|decreased|lowers?|lowered|worse|harms?|harmed)\\b"
-NECESSARY = "\\b(always|must|required|requires|necessary|only|all|every)\\b"
-OPTIONAL = "\\b(optional|not +required|not +necessary|need +not|does +not +require|do +not +require|by +default)\\b"
-SUPPORTS = "\\b(supports?|supported|proves?|proved|demonstrates?|shows?)\\b"
-NO_SUPPORT_CLAIM = "\\b(?:not|fail(?:s|ed|ing)?|without|cannot|does +not|do +not|did +not) +(?:to +)?support\\b"
-SUPPORT_DENIED = "\\b(?:does|do|did) +not +support\\b|\\bnot +support\\b|\\bfails? +to +support\\b"
-DETAILED = "\\b(?:excluded?|exclusion|eligibility|all|every|complete|full|supplement(?:ary)?|appendix|methods?)\\b"
-DEFERRED = "\\b(?:does|do|did) +not +(?:describe|report|include|state)\\b|\\b(?:not|never) +(?:described|reported|included|stated)\\b|\\b(?:see|refer(?:s|red)? +to|available +in)\\b.*\\b(?:supplement(?:ary)?|appendix|full[- ]?text|methods?)\\b"
+from quillmark.functions.text import bigrams, collapse, normalize_text, overlap, split_sentences, tokenize
+from quillmark.operators import rules
+
+#: Cue words of contradiction, weights of verifiers, priorities of scopes.
 CUES = "but cannot fail failed fails however inconsistent limited low negative no not unclear weak".split()
 WEIGHTS = {"existence": 0.35, "metadata": 0.25, "support": 0.30, "contradiction": 0.10}
 PRIORITY = {"full_text": 5, "abstract": 4, "metadata_snippet": 3, "metadata": 2, "title": 1}
@@ -48,12 +40,13 @@ def related(shared: Column, coverage: Column, precision: Column) -> Column:
 
 
 def contradiction(claim: Column, evidence: Column) -> Column:
-    c, e = normalize_text(claim), normalize_text(evidence)
-    return (c.rlike(IMPROVES) & e.rlike(NOT_IMPROVED)) | (c.rlike(NECESSARY) & e.rlike(OPTIONAL)) | (c.rlike(SUPPORTS) & ~c.rlike(NO_SUPPORT_CLAIM) & e.rlike(SUPPORT_DENIED))
+    """Whether a rule of contradiction fires, in either language."""
+    return rules.family("contradiction", normalize_text(claim), normalize_text(evidence))
 
 
 def full_text_boundary(claim: Column, evidence: Column) -> Column:
-    return normalize_text(claim).rlike(DETAILED) & normalize_text(evidence).rlike(DEFERRED)
+    """Whether the evidence defers what the claim needs, or is synthetic where it claims review."""
+    return rules.family("boundary", normalize_text(claim), normalize_text(evidence))
 
 
 def best_span(scored: DataFrame, claim: str, score: str = "score") -> DataFrame:
@@ -110,16 +103,3 @@ def fuse(findings: DataFrame, keys: list[str]) -> DataFrame:
 def best_decision(gated: DataFrame, claim: str, citation: str) -> DataFrame:
     rank = F.when(F.col("action") == "cite", 2).when(F.col("action") == "rewrite", 1).otherwise(0)
     return gated.groupBy(claim).agg(F.max_by(F.struct(citation, "action", "risk"), F.struct(rank, -F.col("risk"), -F.col(citation))).alias("b")).select(claim, "b.*")
-
-
-def counter_queries(claims: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, role, query): the claim, and probes that its words call for."""
-    n, c = normalize_text(text), blank(text)
-    probe = lambda cond, role, tail: F.when(cond, F.struct(F.lit(role).alias("role"), F.concat(c, F.lit(tail)).alias("query")))
-    items = F.array(
-        probe(F.lit(True), "claim_similarity", ""),
-        probe(n.rlike("\\b(improves?|improved|increase[sd]?|boosts?|raises?|gains?)\\b"), "improvement_negation", " does not improve no improvement decreases worse"),
-        probe(n.rlike("\\b(supports?|supported|proves?|demonstrates?|shows?)\\b"), "support_negation", " does not support fails to support no evidence"),
-        probe(n.rlike(NECESSARY), "necessity_exception", " optional not required not necessary exception"),
-    )
-    return claims.select(key, F.explode(F.filter(items, lambda x: x.isNotNull())).alias("x")).select(key, "x.role", "x.query")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import cite, ident, text
-from quillmark.operators import audit, cachetab, evaluate, extract, labels, retrieve, similarity, support
+from quillmark.operators import audit, cachetab, evaluate, extract, labels, retrieve, rules, similarity, support
 from quillmark.sources import adapters as A
 from quillmark.sources import readers
 from quillmark.streaming import sessions
@@ -504,15 +504,10 @@ def _sentences(spark, sf):
     )
 
 
-def _re(x: str, pattern: str) -> str:
-    return f"regexp_matches({x}, '{pattern}')"
-
-
 @_query(
     "contradiction_rules",
     f"""WITH n AS (SELECT cand_id, {_norm("claim")} AS c, {_norm("evidence")} AS e FROM ({_SENT}))
-    SELECT cand_id, ({_re("c", support.IMPROVES)} AND {_re("e", support.NOT_IMPROVED)}) OR ({_re("c", support.NECESSARY)} AND {_re("e", support.OPTIONAL)}) OR ({_re("c", support.SUPPORTS)} AND NOT {_re("c", support.NO_SUPPORT_CLAIM)} AND {_re("e", support.SUPPORT_DENIED)}) AS contradicts,
-    {_re("c", support.DETAILED)} AND {_re("e", support.DEFERRED)} AS boundary FROM n""",
+    SELECT cand_id, {rules.family_sql("contradiction", "c", "e")} AS contradicts, {rules.family_sql("boundary", "c", "e")} AS boundary FROM n""",
 )
 def contradiction_rules(spark, sf):
     c, e = F.col("claim"), F.col("evidence")
@@ -544,13 +539,12 @@ def support_set(spark, sf):
     return support.support_set(m, "conv_id")
 
 
-@_query("counterevidence_queries", f"""WITH c AS (SELECT item_id, text, {_norm("text")} AS n FROM benchmark)
-    SELECT item_id, 'claim_similarity' AS role, text AS query FROM c
-    UNION ALL SELECT item_id, 'improvement_negation', text || ' does not improve no improvement decreases worse' FROM c WHERE regexp_matches(n, '\\b(improves?|improved|increase[sd]?|boosts?|raises?|gains?)\\b')
-    UNION ALL SELECT item_id, 'support_negation', text || ' does not support fails to support no evidence' FROM c WHERE regexp_matches(n, '\\b(supports?|supported|proves?|demonstrates?|shows?)\\b')
-    UNION ALL SELECT item_id, 'necessity_exception', text || ' optional not required not necessary exception' FROM c WHERE regexp_matches(n, '\\b(always|must|required|requires|necessary|only|all|every)\\b')""")
+_PROBES = " UNION ALL ".join(f"SELECT item_id, '{role}' AS role, text || ' {tail}' AS query FROM c WHERE {rules.probe_cue(p, t).sql('n')}" for role, p, t, tail in rules.PROBES)
+
+
+@_query("counterevidence_queries", f"WITH c AS (SELECT item_id, text, {_norm('text')} AS n FROM benchmark) SELECT item_id, 'claim_similarity' AS role, text AS query FROM c UNION ALL {_PROBES}")
 def counterevidence_queries(spark, sf):
-    return support.counter_queries(A.table(spark, sf, "benchmark"), "item_id", "text")
+    return rules.counter_queries(A.table(spark, sf, "benchmark"), "item_id", "text")
 
 
 _CUE = ", ".join(f"'{c}'" for c in support.CUES)
@@ -839,3 +833,7 @@ def source_health(spark, sf):
     u = F.col("user_id")
     calls = A.table(spark, sf, "events").select(F.col("event_type").alias("source"), F.when(u % 5 == 0, 429).when(u % 7 == 0, 503).otherwise(200).alias("status_code"), (u % 90).cast("double").alias("retry_after"))
     return labels.source_health(calls)
+
+
+# the rest of the catalogue registers itself
+from quillmark.plans import extended  # noqa: E402, F401
