@@ -39,6 +39,49 @@ def reference_lines(text: str) -> list[str]:
     return out
 
 
+#: What makes a line a reference of its own.
+IDENTIFIER = re.compile(r"10\.[0-9]{4,9}/[-._;()/:a-z0-9]+|\b(?:[0-9]{4}\.[0-9]{4,5}|[a-z][a-z-]*(?:\.[a-z]{2})?/[0-9]{7})(?:v[0-9]+)?\b", re.I)
+YEAR = re.compile(r"\b(?:19|20)[0-9]{2}\b")
+NAMES = re.compile(r"\b[A-Z][A-Za-z'`-]+,\s+[A-Z](?:\.|[A-Za-z'`-]+)|\b(?i:et\s+al)\.|\b[A-Z][A-Za-z'`-]+\s+and\s+[A-Z][A-Za-z'`-]+\b")
+PLACES = re.compile(r"\b(?:journal|proceedings|conference|transactions|letters|review|arxiv|press|neurips|icml|acl|cvpr)\b", re.I)
+PUBLISHED = re.compile(r"\b(?:journal|proceedings|conference|arxiv|press)\b", re.I)
+SYNTAX = re.compile(r"^(?:\\[a-zA-Z]+|@[a-zA-Z]+\s*[{(]|```|</?[a-z])")
+
+
+def cites(line: str) -> bool:
+    return len(line) >= 20 and bool(IDENTIFIER.search(line) or YEAR.search(line) or PUBLISHED.search(line))
+
+
+def stands_alone(line: str) -> bool:
+    """A reference without a mark of a list: an identifier, or a year with names and a place of publication."""
+    return len(line) >= 30 and bool(IDENTIFIER.search(line) or (YEAR.search(line) and NAMES.search(line) and PLACES.search(line)))
+
+
+def loose_references(text: str) -> list[tuple[str, int, int]]:
+    """References of a text without a heading for them, with first and last line: list items with their deeper or citing lines, and lines
+    that stand alone. Items that cite nothing go."""
+    found: list[list] = []
+    depth: int | None = None
+    for number, line in enumerate(text.splitlines(), start=1):
+        body = line.strip()
+        item = ITEM.match(body)
+        indent = len(line) - len(line.lstrip())
+        if not body or SYNTAX.match(body):
+            depth = None
+        elif item:
+            found.append([[item[1]], number, number])
+            depth = indent
+        elif depth is not None and (indent > depth or (cites(body) and not stands_alone(body))):
+            found[-1][0].append(body)
+            found[-1][2] = number
+        else:
+            depth = None
+            if stands_alone(body):
+                found.append([[body], number, number])
+    joined = ((" ".join(" ".join(parts).split()), first, last) for parts, first, last in found)
+    return [x for x in joined if cites(x[0])]
+
+
 class _Bib:
     def __init__(self, text: str):
         self.s, self.i, self.macros = text, 0, {}

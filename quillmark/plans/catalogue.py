@@ -836,4 +836,4 @@ def source_health(spark, sf):
 
 
 # the rest of the catalogue registers itself
-from quillmark.plans import extended  # noqa: E402, F401
+from quillmark.plans import extended, reviews  # noqa: E402, F401
