@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import ann, chat, langid, lattice, minhash, mixing, packing, pii, toxicity, warc
+from quillmark.llm import ann, arrowfile, chat, langid, lattice, lexical, minhash, mixing, packing, periodic, pii, toxicity, warc
 
 #: Query name -> module that has ``query(spark, sf_dir)`` and perhaps ``ORACLE_SQL``.
 MODULES = {
@@ -20,6 +20,9 @@ MODULES = {
     "op8_minhash_neardup": minhash,
     "op9_posting_ann": ann,
     "op10_pack_tokens": packing,
+    "op11_periodic_runs": periodic,
+    "op12_ranked_lexical": lexical,
+    "op13_arrow_sequences": arrowfile,
 }
 
 
