@@ -42,7 +42,7 @@ TOKENIZER = "word_bpe_49k.json"
 FILE_SEQUENCES = 32_768
 #: Chunks, and pieces of them, whose ids a worker remembers (about 200 bytes each, and as many older ones), the longest of them, and how many
 #: new pieces are encoded in one call.
-REMEMBERED, LONGEST, AT_ONCE = 500_000, 64, 1000
+REMEMBERED, LONGEST, AT_ONCE = 300_000, 64, 1000
 #: The splitter of the files whose texts are encoded by chunks (fixed value), and the same for plain text in lower case.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
