@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 the next one. All but the last return the columns of their input. Language ID drops what it rejects, near-duplicate
 detection keeps one document of each group, personal data is replaced by the name of its kind, mixing puts the
 documents in the order of the mixture (files and rows of the written table follow it), and packing cuts that stream of
-tokens into sequences.
+tokens into sequences. Columns that a stage does not use may have any name; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,24 +15,36 @@ from pyspark.sql import functions as F
 from quillmark.llm import langid, minhash, mixing, packing, pii
 from quillmark.llm.scratch import Scratch
 
+#: Columns that stages use by name; all others are numbered on their way through a stage.
+USED = ("doc_id", "text", "lang", "source", "n_chars")
+
 #: Not expressible in SQL: trained models, hashing and a tokenizer. tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in USED else f"extra{i}") for i, c in enumerate(docs.columns)))
+
+
+def _named(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return kept.select(*(F.col(c if c in USED else f"extra{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are rejected, or without letters."""
-    model = langid.learn(spark, docs, F.lit(True))
-    keys = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    judged = langid.keep(spark, docs, model, keys)
-    return judged.where(~F.col("__rejected")).select(*docs.columns)
+    plain = _numbered(docs)
+    model = langid.learn(spark, plain, F.lit(True))
+    keys = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
+    return _named(langid.keep(spark, plain, model, keys).where(~F.col("__rejected")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of links (80 % of the five-word shingles) stays, the first by a row number; doc_ids may repeat or be null."""
-    whole = Scratch(spark, "rows").write(docs.select(F.monotonically_increasing_id().alias("__row"), "*"), "docs")
+    whole = Scratch(spark, "rows").write(_numbered(docs).select(F.monotonically_increasing_id().alias("__row"), "*"), "docs")
     found = minhash.near_duplicates(spark, whole.select(F.col("__row").alias("doc_id"), "text"))
     kept = found.where("kept").select(F.col("doc_id").alias("__row"))
-    return whole.join(kept, "__row", "left_semi").select(*docs.columns)
+    return _named(whole.join(kept, "__row", "left_semi"), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +54,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture."""
-    return mixing.mix(spark, docs)
+    return _named(mixing.mix(spark, _numbered(docs)), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +73,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = spark.read.parquet(work.table(docs, name))
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = work.table(stage(spark, docs, sf_dir), name)
+        if before:  # nothing reads the table of the stage before from here on
+            work.delete(before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
