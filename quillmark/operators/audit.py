@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions.ident import author_coverage, base_arxiv, normalize_arxiv, normalize_doi, record_key, year_matches
 from quillmark.functions.text import blank, normalize_text
-from quillmark.operators.similarity import blocked_pairs
+from quillmark.operators.similarity import SignedTexts, matches
+from quillmark.session import written
 
 STRONG, MARGIN = 0.70, 0.05
 SIMILAR = 0.85
@@ -21,19 +21,44 @@ RISK = {"verified": ("low", 0.05, "keep"), "metadata_mismatch": ("medium", 0.65,
 SUSPECT_PREFIXES = ("10.65215",)
 
 
-def cascade(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
+class Lookups:
+    """What references are looked up by: the first record of each DOI, versioned arXiv id and normalised title, and the titles for
+    comparison. With ``folder`` these are tables there, made once for many lookups."""
+
+    def __init__(self, corpus: DataFrame, folder: str | None = None):
+        self.first = {}
+        for name, key in _keys().items():
+            x = corpus.select(key.alias("k"), "doc_id").where(F.length("k") > 0).groupBy("k").agg(F.min("doc_id").alias("hit"))
+            if folder:
+                x.write.parquet(f"{folder}/{name}")
+                x = corpus.sparkSession.read.schema(x.schema).parquet(f"{folder}/{name}")
+            self.first[name] = x
+        self.folder, self._titles = folder, None
+
+    @property
+    def titles(self) -> SignedTexts:
+        if self._titles is None:
+            self._titles = SignedTexts(self.first["t"].select(F.col("k").alias("t")), SIMILAR, path=f"{self.folder}/signed" if self.folder else None)
+        return self._titles
+
+
+def _keys() -> dict[str, Column]:
+    return {"d": normalize_doi("doi"), "a": normalize_arxiv("arxiv_id"), "t": normalize_text("title")}
+
+
+def cascade(candidates: DataFrame, corpus: DataFrame | Lookups) -> DataFrame:
     """(cand_id, doc_id, method): by DOI, else by versioned arXiv id, else by normalised title, else by the most similar title from SIMILAR on; the first record wins; null if none."""
-    first = lambda key: corpus.select(key.alias("k"), "doc_id").where(F.length("k") > 0).groupBy("k").agg(F.min("doc_id").alias("hit"))
-    x = candidates.select("cand_id", normalize_doi("doi").alias("d"), normalize_arxiv("arxiv_id").alias("a"), normalize_text("title").alias("t"))
-    for name, key in (("d", normalize_doi("doi")), ("a", normalize_arxiv("arxiv_id")), ("t", normalize_text("title"))):
+    lookups = corpus if isinstance(corpus, Lookups) else Lookups(corpus)
+    x = candidates.select("cand_id", *(key.alias(name) for name, key in _keys().items()))
+    for name, first in lookups.first.items():
         # most candidates lack most keys: instead of '' they get a key of their own that matches nothing, so no partition holds them all
         asked = F.when(F.length(name) > 0, F.col(name)).otherwise(F.concat(F.lit("\u0000"), F.col("cand_id").cast("string")))
-        x = x.withColumn("__k", asked).join(first(key).withColumnsRenamed({"k": "__k", "hit": f"h{name}"}), "__k", "left").drop("__k")
-    x = x.persist(StorageLevel.MEMORY_AND_DISK)  # one small row for each candidate, read again for those left
-    left = x.where(F.coalesce("hd", "ha", "ht").isNull() & (F.length("t") > 0)).select("t", F.col("t").alias("asked")).distinct()
-    titles = first(normalize_text("title")).select("hit", F.col("k").alias("name"))
-    similar = blocked_pairs(left, "t", "asked", titles, "hit", "name", SIMILAR).groupBy("t").agg(F.min_by("hit", F.struct(-F.col("score"), "hit")).alias("hs"))
-    x = x.join(similar, "t", "left")
+        x = x.withColumn("__k", asked).join(first.withColumnsRenamed({"k": "__k", "hit": f"h{name}"}), "__k", "left").drop("__k")
+    x = written(x.select("cand_id", "t", "hd", "ha", "ht"), "cascade")  # a small row for each candidate, read again for those left
+    left = x.where(F.coalesce("hd", "ha", "ht").isNull() & (F.length("t") > 0)).select("t").distinct()
+    near = matches(SignedTexts(left, SIMILAR), lookups.titles)
+    near = near.join(lookups.first["t"].withColumnRenamed("k", "right"), "right").groupBy("left").agg(F.min_by("hit", F.struct(-F.col("score"), "hit")).alias("hs"))
+    x = x.join(near.withColumnRenamed("left", "t"), "t", "left")
     method = F.when(F.col("hd").isNotNull(), "doi").when(F.col("ha").isNotNull(), "arxiv").when(F.col("ht").isNotNull(), "title").when(F.col("hs").isNotNull(), "similar").otherwise("none")
     return x.select("cand_id", F.coalesce("hd", "ha", "ht", "hs").alias("doc_id"), method.alias("method"))
 

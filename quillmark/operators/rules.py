@@ -189,6 +189,15 @@ def family_sql(name: str, claim: str, evidence: str) -> str:
     return "(" + " OR ".join(f"({r.claim.sql(claim)} AND {r.evidence.sql(evidence)})" for r in RULES if r.family == name) + ")"
 
 
+def cues(norm: Column, side: str) -> Column:
+    """The rules whose claim, or evidence, has its cue in a normalised text, as bits in the order of the table: a rule fires where both sides have its bit."""
+    return sum((F.when(getattr(r, side).column(norm), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)), F.lit(0)).cast("int")
+
+
+def bits(name: str) -> int:
+    return sum(1 << i for i, r in enumerate(RULES) if r.family == name)
+
+
 def evaluate(pairs: DataFrame, claim: str, evidence: str) -> DataFrame:
     """Adds fired (names of the rules that hold, in the order of the table), contradicts, boundary and outage."""
     x = pairs.withColumns({"__c": normalize_text(claim), "__e": normalize_text(evidence)})

@@ -1,21 +1,32 @@
-"""Ratcliff/Obershelp similarity and the blocked joins that need it.
+"""Ratcliff/Obershelp similarity and the joins that need it.
 
-Spark has no such function, so the ratio is a Pandas UDF over Arrow batches; it only sees pairs of distinct normalised
-strings that pass two bounds which no qualifying pair fails (lengths, then shared characters or pairs of characters).
+Spark has no such function, so the ratio is a Pandas UDF over Arrow batches; it only sees pairs of distinct normalised strings
+that pass bounds which no qualifying pair fails. ``matches`` compares fixed-size signatures of characters and pairs of characters in blocks of
+strings whose lengths fit: at thresholds on characters, two strings that are unlike share as many rare pairs of characters as not, so
+joins on shared grams meet each pair of strings several times over, at many times the price of one comparison of signatures.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from quillmark.functions.text import normalize_text
+from quillmark.session import written
+
+#: 64-bit words of a signature of characters and of one of pairs of characters.
+WORDS = {1: 2, 2: 4}
+#: Strings of one side in a block, at least and at most, and pairs that are compared at a time.
+SMALL, LARGE, AT_ONCE = 2_000, 20_000, 65_536
 
 
 @F.pandas_udf(DoubleType())
@@ -25,83 +36,231 @@ def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)])
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a column of the table at a time as the bits of one number."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def common_lengths(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the pairs (left[i], right[j]), no less than the length of the longest common subsequence: that length, but for lefts of over
+    256 characters, and for blocks of over 255 characters, of which some stand for each other."""
+    alphabet: dict[str, int] = {}
+    for t in (*left, *right):
+        for c in t:
+            alphabet.setdefault(c, len(alphabet) % 255)
+    na, nb = np.array([len(t) for t in left]), np.array([len(t) for t in right])
+    codes = np.full((len(right), int(nb.max())), 255, np.uint8)  # 255 is in no left
+    for row, t in enumerate(right):
+        codes[row, : len(t)] = [alphabet[c] for c in t]
+    out = np.minimum(na[i], nb[j])
+    for words in range(1, 5):
+        mine = np.flatnonzero(-(-na // 64) == words)
+        place = np.full(len(left), -1)
+        place[mine] = np.arange(len(mine))
+        at = np.zeros((words, len(mine), 256), np.uint64)
+        own = np.zeros((words, len(mine)), np.uint64)
+        for row, t in enumerate(left[x] for x in mine.tolist()):
+            for p, c in enumerate(t):
+                at[p // 64, row, alphabet[c]] |= np.uint64(1 << p % 64)
+                own[p // 64, row] |= np.uint64(1 << p % 64)
+        pairs = np.flatnonzero(place[i] >= 0)
+        for lo in range(0, len(pairs), AT_ONCE):
+            some = pairs[lo : lo + AT_ONCE]
+            x, y = place[i[some]], j[some]
+            rows = [np.full(len(x), ~np.uint64(0)) for _ in range(words)]
+            for p in range(int(nb[y].max())):
+                c, carry = codes[y, p], np.zeros(len(x), np.uint64)
+                for w, row in enumerate(rows):
+                    hit = row & at[w, x, c]
+                    total = row + hit
+                    over = total < row
+                    total += carry
+                    carry = (over | (total < carry)).astype(np.uint64) if w + 1 < words else carry
+                    rows[w] = total | (row - hit)
+            out[some] = na[i[some]] - sum(np.bitwise_count(row & own[w, x]).astype(np.int64) for w, row in enumerate(rows))
+    return out
+
+
+def _ratio_from(least: float):
+    """The ratio where it is ``least`` at least, else null. Matching characters are a common subsequence, so most pairs need no more than its length."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        matcher, out, last = SequenceMatcher(None), [], None
+        for a, b in zip(left, right, strict=True):
+            r = None
+            if 2 * common_length(a, b) >= least * (len(a) + len(b)) - 1e-9:
+                if b != last:
+                    matcher.set_seq2(b)  # what it knows of the second string serves all of its partners
+                    last = b
+                matcher.set_seq1(a)
+                r = matcher.ratio()
+            out.append(r if r is not None and r >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return ratio
+
+
 def sequence_similarity(left: Column, right: Column) -> Column:
     """Of the normalised strings, in this order (the ratio is not symmetric); 0 if one is empty."""
     return _ratio(normalize_text(left), normalize_text(right))
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    return 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
-
 
-def _grams(q: int):
+def _numbered(t: str, q: int) -> list[str]:
     """The q-grams of a string, each with its number, so that equal multisets are equal sets."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(t) - q + 1):
+        g = t[i : i + q]
+        seen[g] = k = seen.get(g, 0) + 1
+        out.append(f"{g}{k}")
+    return out
 
-    @F.pandas_udf("array<string>")
-    def grams(texts: pd.Series) -> pd.Series:
-        def of(t: str) -> list[str]:
-            seen: dict[str, int] = {}
-            out = []
-            for i in range(len(t) - q + 1):
-                g = t[i : i + q]
-                seen[g] = seen.get(g, 0) + 1
-                out.append(f"{g}{seen[g]}")
-            return out
 
-        return texts.map(of)
+def _bits(grams: list[str], words: int) -> list[int]:
+    """One bit for each gram, by its hash, in signed 64-bit words."""
+    out = [0] * words
+    for g in grams:
+        h = zlib.crc32(g.encode()) % (64 * words)
+        out[h // 64] |= 1 << h % 64
+    return [x - (1 << 64) if x >> 63 else x for x in out]
 
-    return grams
 
+def _signatures(q: int):
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            signs = [[x for k in range(1, q + 1) for x in _bits(_numbered(t, k), WORDS[k])] for t in part["t"]]
+            yield pd.DataFrame({"t": part["t"], "n": part["t"].map(len), "signs": signs})
 
-def _needed(least: float, q: int, total: Column) -> Column:
-    """Shared q-grams that a ratio of ``least`` needs, of two lengths that add up to ``total``.
+    return rows
+
+
+def _needed(least: float, k: int, total: np.ndarray) -> np.ndarray:
+    """Shared k-grams that a ratio of ``least`` needs, of two lengths that add up to ``total``.
 
     The ratio is 2M / total, for M matching characters. They are shared characters; in pairs of neighbours, all but one
     for each run of them count, and between two runs one of the other total - 2M characters stands at least.
     """
-    rate = least / 2 if q == 1 else 1.5 * least - 1
-    return F.ceil(F.lit(rate) * total - (q - 1) - 1e-6)
+    return np.ceil((least / 2 if k == 1 else 1.5 * least - 1) * total - (k - 1) - 1e-6)
 
 
-def blocked_pairs(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str, least: float) -> DataFrame:
-    """(lkey, rkey, ltext, rtext, score) of all pairs with a ratio of at least ``least`` (above 0).
+def _near_pairs(least: float, q: int):
+    """Pairs of a block that signatures do not rule out: neither string has so many grams which the other lacks that the rest is too
+    few. A bit of one signature only stands for one such gram at least."""
+    names = [f"s{i}" for i in range(sum(WORDS[k] for k in range(1, q + 1)))]
+    first = [names.index(f"s{i}") for i in range(len(names) - WORDS[q], len(names))]  # words of the longest grams tell most
 
-    Distinct normalised strings are compared once; they and their grams are read several times and cached. Of two strings that need n shared grams, the first len - n + 1 in one
-    order of all grams, the rarest first, have one in common, so a join on those loses no pair. Grams are
-    characters, or pairs of them where the threshold leaves enough to share.
+    def side(t: pa.Table):
+        n = t["n"].to_numpy()
+        order = np.argsort(n, kind="stable")
+        return n[order], [t[c].to_numpy()[order].view(np.uint64) for c in names], order
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"left": pa.array([], pa.string()), "right": pa.array([], pa.string())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        (na, sa, oa), (nb, sb, ob) = side(left), side(right)
+        lacking = [~x for x in sb]
+        found = []
+        starts = np.flatnonzero(np.diff(na, prepend=-1))
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(na)], strict=True):
+            n = int(na[lo])
+            r0, r1 = np.searchsorted(nb, math.ceil(n * least / (2 - least) - 1e-9), "left"), np.searchsorted(nb, math.floor(n * (2 - least) / least + 1e-9), "right")
+            if r0 >= r1:
+                continue
+            room = n - (q - 1) - _needed(least, q, n + nb[r0:r1])  # so many grams may be missing
+            step = max(1, AT_ONCE // int(r1 - r0))
+            for at in range(lo, hi, step):
+                end = min(hi, at + step)
+                alone = np.zeros((end - at, r1 - r0), np.uint16)
+                for w in first:
+                    alone += np.bitwise_count(sa[w][at:end, None] & lacking[w][None, r0:r1])
+                i, j = np.nonzero(alone <= room)
+                found.append((i + at, j + r0))
+        if not found:
+            return none
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        w = 0
+        for k in range(1, q + 1):
+            words, w = range(w, w + WORDS[k]), w + WORDS[k]
+            for n, x, y, i, j in ((na, sa, sb, "a", "b"), (nb, sb, sa, "b", "a")):
+                own, other = (a, b) if i == "a" else (b, a)
+                alone = sum(np.bitwise_count(x[v][own] & ~y[v][other]).astype(np.int32) for v in words)
+                ok = n[own] - (k - 1) - alone >= _needed(least, k, na[a] + nb[b])
+                a, b = a[ok], b[ok]
+        ta, tb = left["t"].take(pa.array(oa[a])), right["t"].take(pa.array(ob[b]))
+        if not len(a):
+            return none
+        # each string once for the table of its characters
+        ua, ia = np.unique(a, return_inverse=True)
+        ub, ib = np.unique(b, return_inverse=True)
+        longest = common_lengths(left["t"].take(pa.array(oa[ua])).to_pylist(), right["t"].take(pa.array(ob[ub])).to_pylist(), ia, ib)
+        some = pa.array(2 * longest >= least * (na[a] + nb[b]) - 1e-9)
+        return pa.table({"left": ta.filter(some), "right": tb.filter(some)})
+
+    return run
+
+
+class SignedTexts:
+    """Distinct normalised strings (column ``t``) and their signatures, for joins at one threshold. With ``path`` they are written there, to be joined as often as wanted."""
+
+    def __init__(self, texts: DataFrame, least: float, path: str | None = None):
+        self.least, self.q = least, 2 if least >= 0.8 else 1
+        n_signs = sum(WORDS[k] for k in range(1, self.q + 1))
+        rows = texts.select("t").mapInPandas(_signatures(self.q), "t string, n int, signs array<long>")
+        rows = rows.select("t", "n", *(F.get("signs", F.lit(i)).alias(f"s{i}") for i in range(n_signs)))
+        if path:
+            rows.write.parquet(path)
+            rows = texts.sparkSession.read.schema(rows.schema).parquet(path)
+        else:
+            rows = written(rows, "signed")
+        self.rows, self.count = rows, rows.count()
+
+    def blocks(self) -> int:
+        return max(1, -(-self.count // min(LARGE, max(SMALL, self.count // 8))))
+
+
+def matches(left: SignedTexts, right: SignedTexts) -> DataFrame:
+    """(left, right, score) of all pairs of strings with a ratio of at least the threshold of both.
+
+    Lengths that fit are in the same band or in neighbouring ones. A band is cut into blocks of either side by a hash; each pair of
+    blocks is one group, where signatures are compared 64 bits at a time, so no group grows with the table. Only pairs that are nearly
+    alike come out; they are compared once, first by their longest common subsequence.
     """
-    q = 2 if least >= 0.8 else 1
-    a = left.select(lkey, F.col(ltext).alias("__a"), normalize_text(ltext).alias("__na"))
-    b = right.select(rkey, F.col(rtext).alias("__b"), normalize_text(rtext).alias("__nb"))
-    texts = {side: x.select(F.col(name).alias("t")).where(F.length("t") > 0).distinct().withColumn("g", _grams(q)("t")).persist(StorageLevel.MEMORY_AND_DISK) for side, x, name in (("a", a, "__na"), ("b", b, "__nb"))}
-    n = F.length("t")
-    # lengths that fit are in the same band or in neighbouring ones
+    least = left.least
     band = F.floor(F.log(F.col("n")) / (math.log((2 - least) / least) + 1e-9))
-    # the shorter of the two has at least this share of the other's length
-    fewest = _needed(least, q, n * (1 + least / (2 - least)))
-    df = texts["a"].unionByName(texts["b"]).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefixes(x: DataFrame) -> DataFrame:
-        each = x.select("t", n.alias("n"), fewest.alias("least"), F.size("g").alias("size"), F.explode("g").alias("gram")).join(df, "gram")
-        ordered = each.groupBy("t", "n", "least", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-        first = F.slice("o", F.lit(1), F.greatest(F.col("size") - F.greatest("least", F.lit(1)) + 1, F.lit(0)).cast("int"))
-        return ordered.select("t", "n", F.explode(first).alias("x")).select("t", "n", band.alias("band"), "x.gram")
-
-    # strings that need no shared gram are met by all of a fitting length
-    free = lambda x: x.where(fewest < 1).select("t", n.alias("n"))
-    fits = lambda x, y: 2.0 * F.least(x, y) / (x + y) >= least - 1e-9
-    pa, pb = prefixes(texts["a"]).withColumnsRenamed({"t": "__na", "n": "la"}), prefixes(texts["b"]).withColumnsRenamed({"t": "__nb", "n": "lb"})
-    pa = pa.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
-    met = pa.join(pb, ["gram", "band"]).where(fits(F.col("la"), F.col("lb"))).select("__na", "__nb")
-    every = {side: texts[side].select(F.col("t").alias(f"__n{side}"), n.alias(f"l{side}")) for side in "ab"}
-    for one, other in (("a", "b"), ("b", "a")):
-        some = free(texts[one]).withColumnsRenamed({"t": f"__n{one}", "n": f"l{one}"})
-        met = met.unionByName(some.join(every[other], fits(F.col("la"), F.col("lb"))).select("__na", "__nb"))
-    met = met.distinct()
-    x = met.join(texts["a"].select(F.col("t").alias("__na"), F.col("g").alias("ga")), "__na").join(texts["b"].select(F.col("t").alias("__nb"), F.col("g").alias("gb")), "__nb")
-    x = x.where(F.size(F.array_intersect("ga", "gb")) >= _needed(least, q, F.length("__na") + F.length("__nb"))).select("__na", "__nb")
-    scored = x.withColumn("score", _ratio("__na", "__nb")).where(F.col("score") >= least)
-    return scored.join(a, "__na").join(b, "__nb").select(lkey, rkey, F.col("__a").alias(ltext), F.col("__b").alias(rtext), "score")
+    sides = []
+    for own, other, near in ((left, right, (-1, 0, 1)), (right, left, (0,))):
+        x = own.rows.withColumn("band", F.explode(F.array(*(band + i for i in near))))
+        x = x.withColumn("own", F.pmod(F.xxhash64("t"), F.lit(own.blocks())).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other.blocks() - 1))))
+        sides.append(x.withColumnsRenamed({"own": "i", "other": "j"} if own is left else {"own": "j", "other": "i"}).groupBy("band", "i", "j"))
+    near = sides[0].cogroup(sides[1]).applyInArrow(_near_pairs(least, left.q), "left string, right string")
+    pairs = near.repartition("right").sortWithinPartitions("right")
+    return pairs.withColumn("score", _ratio_from(least)("left", "right")).where(F.col("score") >= least)
+
+
+def distinct_texts(rows: DataFrame, text: str) -> DataFrame:
+    return rows.select(normalize_text(text).alias("t")).where(F.length("t") > 0).distinct()
+
+
+def blocked_pairs(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str, least: float) -> DataFrame:
+    """(lkey, rkey, ltext, rtext, score) of all pairs with a ratio of at least ``least`` (above 0). Distinct normalised strings are compared once."""
+    b = SignedTexts(distinct_texts(right, rtext), least)
+    a = SignedTexts(distinct_texts(left, ltext), least)
+    scored = matches(a, b)
+    x = left.select(lkey, F.col(ltext).alias("__a"), normalize_text(ltext).alias("left"))
+    y = right.select(rkey, F.col(rtext).alias("__b"), normalize_text(rtext).alias("right"))
+    return scored.join(x, "left").join(y, "right").select(lkey, rkey, F.col("__a").alias(ltext), F.col("__b").alias(rtext), "score")
 
 
 def best_others(items: DataFrame, key: str, text: str, rkey: str, rtext: str, least: float, k: int) -> DataFrame:

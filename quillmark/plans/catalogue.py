@@ -21,6 +21,8 @@ _SQL: dict[str, str] = {}
 
 def _query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
         _QUERIES[name] = f
         if sql:
             _SQL[name] = sql
@@ -58,6 +60,12 @@ def _arxiv(x: str) -> str:
     return rf"lower(regexp_replace(regexp_replace(trim({x}), '^(?:\s*(?:arxiv\s*:\s*|(?:https?://)?arxiv\.org/(?:abs|pdf|html)/))+', '', 'i'), '(?:[?#].*|\.pdf)$', ''))"
 
 
+def _tok_cjk(x: str) -> str:
+    """Tokens of both languages: the pairs of neighbours of a run of ideographs, and Latin words."""
+    pairs = "CASE WHEN length(s) = 1 THEN [s] ELSE list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, CAST(i AS INTEGER), 2)) END"
+    return f"flatten(list_transform(regexp_extract_all({_norm(x)}, '[一-鿿]+|[a-z0-9]+'), lambda s: CASE WHEN regexp_matches(s, '^[一-鿿]') THEN {pairs} WHEN s IN ({_STOP}) THEN CAST([] AS VARCHAR[]) ELSE [s] END))"
+
+
 _CLAIMS = "SELECT item_id AS query_id, text AS q FROM benchmark"
 _DOC = "SELECT doc_id, text FROM documents"
 
@@ -247,8 +255,9 @@ def overlap_topk(spark, sf):
     SELECT query_id, doc_id, score, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
 )
 def multi_source_topk(spark, sf):
-    hits = retrieve.overlap_scores(_docs(spark, sf), "doc_id", T, _claims(spark, sf), Q).where("score > 0")
-    return retrieve.multi_source(hits.join(A.table(spark, sf, "documents").select("doc_id", "source"), "doc_id"), "doc_id", "source", 3, 5).select("query_id", "doc_id", "score", "source", "rank")
+    docs = A.spread(A.table(spark, sf, "documents").select("doc_id", "text", "source"))
+    hits = retrieve.overlap_search(docs, "doc_id", T, _claims(spark, sf), Q, 3, within="source")
+    return retrieve.multi_source(hits, "doc_id", 5).select("query_id", "doc_id", "score", "source", "rank")
 
 
 # ---- resolution and verdicts ------------------------------------------------------------------------------------
@@ -258,8 +267,9 @@ c AS ({A.CORPUS_SQL}), k AS ({A.CANDIDATES_SQL}),
 d AS (SELECT {_doi("doi")} AS k, min(doc_id) AS hit FROM c WHERE {_doi("doi")} <> '' GROUP BY 1),
 a AS (SELECT {_arxiv("arxiv_id")} AS k, min(doc_id) AS hit FROM c WHERE {_arxiv("arxiv_id")} <> '' GROUP BY 1),
 t AS (SELECT {_norm("title")} AS k, min(doc_id) AS hit FROM c WHERE {_norm("title")} <> '' GROUP BY 1),
-r AS (SELECT cand_id, coalesce(d.hit, a.hit, t.hit) AS doc_id, CASE WHEN d.hit IS NOT NULL THEN 'doi' WHEN a.hit IS NOT NULL THEN 'arxiv' WHEN t.hit IS NOT NULL THEN 'title' ELSE 'none' END AS method
-  FROM k LEFT JOIN d ON {_doi("k.doi")} = d.k LEFT JOIN a ON {_arxiv("k.arxiv_id")} = a.k LEFT JOIN t ON {_norm("k.title")} = t.k)"""
+y AS (SELECT doc_id AS cand_id, hit FROM c JOIN t ON {_norm("title")} = t.k WHERE {A.TYPO_SQL}),
+r AS (SELECT cand_id, coalesce(d.hit, a.hit, t.hit, y.hit) AS doc_id, CASE WHEN d.hit IS NOT NULL THEN 'doi' WHEN a.hit IS NOT NULL THEN 'arxiv' WHEN t.hit IS NOT NULL THEN 'title' WHEN y.hit IS NOT NULL THEN 'similar' ELSE 'none' END AS method
+  FROM k LEFT JOIN d ON {_doi("k.doi")} = d.k LEFT JOIN a ON {_arxiv("k.arxiv_id")} = a.k LEFT JOIN t ON {_norm("k.title")} = t.k LEFT JOIN y USING (cand_id))"""
 
 
 def _resolved(spark, sf):
@@ -836,4 +846,4 @@ def source_health(spark, sf):
 
 
 # the rest of the catalogue registers itself
-from quillmark.plans import extended, reviews  # noqa: E402, F401
+from quillmark.plans import extended, reviews, searches, streams  # noqa: E402, F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text
 from quillmark.operators import assess, audit, evaluate, extract, resolve, rules
 from quillmark.operators.support import heuristic_support
-from quillmark.plans.catalogue import _norm, _query, _tok
+from quillmark.plans.catalogue import _norm, _query, _tok_cjk
 from quillmark.sources import adapters as A
 
 # ---- rules ------------------------------------------------------------------------------------------------------
@@ -57,34 +57,28 @@ def counterevidence_probes(spark, sf):
     return rules.counter_queries(_pairs(spark, sf), "doc_id", "claim")
 
 
-# Latin words are enough for tokens in SQL where both texts are Latin; the pairs with ideographs are counted by the rules only.
-_LATIN = f"""l AS (SELECT *, list_distinct({_tok("claim")}) AS a, list_distinct({_tok("evidence")}) AS b FROM v WHERE NOT regexp_matches(c || e, '[一-鿿]')),
+_SHARED = f"""l AS (SELECT *, list_distinct({_tok_cjk("claim")}) AS a, list_distinct({_tok_cjk("evidence")}) AS b FROM v),
 h AS (SELECT *, len(list_intersect(a, b)) AS shared, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(a), 1) AS cov, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(b), 1) AS prc FROM l)"""
 
 
-def _latin(spark, sf):
-    x = _pairs(spark, sf)
-    return x.where(~F.concat("claim", "evidence").rlike(f"[{text.CJK}]"))
-
-
 @_query(
     "counterevidence_topk",
-    f"""WITH {_RULED}, {_LATIN}, s AS (SELECT doc_id, round(least(1.0, 0.55 * cov + 0.35 * CASE WHEN contradicts OR outage THEN 1 ELSE 0 END + 0.10 * (doc_id % 10) / 10.0), 4) AS score,
+    f"""WITH {_RULED}, {_SHARED}, s AS (SELECT doc_id, round(least(1.0, 0.55 * cov + 0.35 * CASE WHEN contradicts OR outage THEN 1 ELSE 0 END + 0.10 * (doc_id % 10) / 10.0), 4) AS score,
       CASE WHEN outage THEN 'source_outage_safety_cue' WHEN contradicts THEN 'explicit_contradiction_cue' ELSE 'related_candidate' END AS signal FROM h)
     SELECT doc_id, score, signal FROM s WHERE score > 0""",
 )
 def counterevidence_topk(spark, sf):
-    x = rules.counter_evidence(_latin(spark, sf), "claim", "evidence", (F.col("doc_id") % 10) / 10.0)
+    x = rules.counter_evidence(_pairs(spark, sf), "claim", "evidence", (F.col("doc_id") % 10) / 10.0)
     return x.select("doc_id", "score", "signal")
 
 
 @_query(
     "explicit_contradiction",
-    f"""WITH {_RULED}, {_LATIN} SELECT doc_id, CASE WHEN (shared >= 2 AND cov >= 0.25 OR shared >= 3 AND prc >= 0.15 OR outage) AND (contradicts OR outage)
+    f"""WITH {_RULED}, {_SHARED} SELECT doc_id, CASE WHEN (shared >= 2 AND cov >= 0.25 OR shared >= 3 AND prc >= 0.15 OR outage) AND (contradicts OR outage)
     THEN round(least(0.85, greatest(0.58, 0.50 + 0.40 * cov + 0.20 * prc)), 4) ELSE 0.0 END AS confidence FROM h""",
 )
 def explicit_contradiction(spark, sf):
-    x = rules.evaluate(heuristic_support(_latin(spark, sf), "claim", "evidence"), "claim", "evidence")
+    x = rules.evaluate(heuristic_support(_pairs(spark, sf), "claim", "evidence"), "claim", "evidence")
     return x.select("doc_id", rules.explicit_confidence(F.col("shared"), F.col("coverage"), F.col("prec"), F.lit(0.0), F.col("contradicts"), F.col("outage")).alias("confidence"))
 
 
@@ -237,8 +231,8 @@ def verification_metrics(spark, sf):
     return evaluate.verification_metrics(x)
 
 
-@_query("review_coverage", f"WITH {_J} SELECT lang, case_type, count(*) AS n, count(*) FILTER (case_id % 3 = 0) AS n_reviewed, round(CAST(count(*) FILTER (case_id % 3 = 0) AS DOUBLE) / count(*), 4) AS coverage FROM j GROUP BY CUBE (lang, case_type)")
-def review_coverage(spark, sf):
+@_query("review_coverage_by_slice", f"WITH {_J} SELECT lang, case_type, count(*) AS n, count(*) FILTER (case_id % 3 = 0) AS n_reviewed, round(CAST(count(*) FILTER (case_id % 3 = 0) AS DOUBLE) / count(*), 4) AS coverage FROM j GROUP BY CUBE (lang, case_type)")
+def review_coverage_by_slice(spark, sf):
     return evaluate.review_coverage(A.judged(spark, sf), F.col("case_id") % 3 == 0)
 
 

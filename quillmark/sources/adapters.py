@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,15 @@ SELECT doc_id, 'doc:' || doc_id AS citation_id,
 FROM documents"""
 
 
+#: Of the citations with a title only, every second one lacks the first character of its title. What is left is one stretch of the title, so the
+#: ratio is 2(n - 1) / (2n - 1); very long titles are left out, as the ratio does not count what is frequent in 200 characters and more.
+TYPO_SQL = "doc_id % 10 = 7 AND length(title) BETWEEN 30 AND 150"
+
+
+def typo() -> Column:
+    return F.expr(TYPO_SQL)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations to check: each is a document cited with a DOI, an arXiv id, only a title, or something that is not there."""
     c = corpus(spark, sf_dir)
@@ -49,7 +58,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("cand_id"),
         F.when(kind == 0, F.concat(F.lit("DOI: "), F.upper(F.regexp_replace("doi", "^https://doi.org/", "")))).when(kind == 3, F.concat(F.lit("10.9999/none."), F.col("doc_id").cast("string"))).otherwise("").alias("doi"),
         F.when(kind == 1, F.regexp_replace("arxiv_id", "^arXiv: ", "https://arxiv.org/abs/")).otherwise("").alias("arxiv_id"),
-        F.when(kind == 4, F.concat(F.lit("unknown work "), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit('"'), "title", F.lit('"!'))).alias("title"),
+        F.when(kind == 4, F.concat(F.lit("unknown work "), F.col("doc_id").cast("string"))).when(typo(), F.concat(F.lit('"'), F.expr("substring(title, 2)"), F.lit('"!'))).otherwise(F.concat(F.lit('"'), "title", F.lit('"!'))).alias("title"),
         (F.col("year") + F.when(F.col("doc_id") % 7 == 0, 3).otherwise(F.col("doc_id") % 2)).cast("int").alias("year"),
         F.slice("authors", 1, 1).alias("authors"),
         F.when(F.col("doc_id") % 6 == 0, "Elsewhere").otherwise(F.col("venue")).alias("venue"),
@@ -60,13 +69,31 @@ CANDIDATES_SQL = f"""
 SELECT doc_id AS cand_id,
   CASE doc_id % 5 WHEN 0 THEN 'DOI: ' || upper(regexp_replace(doi, '^https://doi.org/', '')) WHEN 3 THEN '10.9999/none.' || doc_id ELSE '' END AS doi,
   CASE WHEN doc_id % 5 = 1 THEN regexp_replace(arxiv_id, '^arXiv: ', 'https://arxiv.org/abs/') ELSE '' END AS arxiv_id,
-  CASE WHEN doc_id % 5 = 4 THEN 'unknown work ' || doc_id ELSE '"' || title || '"!' END AS title,
+  CASE WHEN doc_id % 5 = 4 THEN 'unknown work ' || doc_id WHEN {TYPO_SQL} THEN '"' || substr(title, 2) || '"!' ELSE '"' || title || '"!' END AS title,
   CAST(year + CASE WHEN doc_id % 7 = 0 THEN 3 ELSE doc_id % 2 END AS INTEGER) AS year,
   list_slice(authors, 1, 1) AS authors,
   CASE WHEN doc_id % 6 = 0 THEN 'Elsewhere' ELSE venue END AS venue
 FROM ({CORPUS_SQL})"""
 
 
+def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The corpus as three sources return it: each has its own share of the works and leaves fields of its own blank."""
+    c = corpus(spark, sf_dir)
+    k, blank, few = F.col("doc_id"), F.lit(""), F.array().cast("array<string>")
+    rows = lambda name, where, score, **own: spread(c.where(where)).select("doc_id", *(own.get(f, F.col(f) if f != "url" else blank).alias(f) for f in ("title", "authors", "year", "venue", "abstract", "doi", "arxiv_id", "url")), F.lit(name).alias("source"), score.cast("double").alias("source_score"))
+    return {
+        "openalex": rows("openalex", k % 3 != 0, k % 97, arxiv_id=blank),
+        "crossref": rows("crossref", k % 2 == 0, k % 13, abstract=blank, arxiv_id=blank, doi=F.upper("doi"), year=F.when(k % 5 != 0, F.col("year")), authors=F.when(k % 7 == 0, few).otherwise(F.col("authors")), url=F.concat(F.lit("https://example.org/"), k.cast("string"))),
+        "arxiv": rows("arxiv", k % 5 < 3, F.lit(0), doi=F.when(k % 10 == 0, F.col("doi")).otherwise(blank), venue=blank),
+    }
+
+
+SOURCES_SQL = f"""
+SELECT 0 AS src, doc_id, title, authors, year, venue, abstract, doi, '' AS arxiv_id, '' AS url, 'openalex' AS source, CAST(doc_id % 97 AS DOUBLE) AS source_score FROM ({CORPUS_SQL}) WHERE doc_id % 3 <> 0
+UNION ALL SELECT 1, doc_id, title, CASE WHEN doc_id % 7 = 0 THEN CAST([] AS VARCHAR[]) ELSE authors END, CASE WHEN doc_id % 5 <> 0 THEN year END, venue, '', upper(doi), '', 'https://example.org/' || doc_id, 'crossref', CAST(doc_id % 13 AS DOUBLE) FROM ({CORPUS_SQL}) WHERE doc_id % 2 = 0
+UNION ALL SELECT 2, doc_id, title, authors, year, '', abstract, CASE WHEN doc_id % 10 = 0 THEN doi ELSE '' END, arxiv_id, '', 'arxiv', 0.0 FROM ({CORPUS_SQL}) WHERE doc_id % 5 < 3"""
+
+
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audited citation per document: verdict, score, failed and checked sources."""
     d = table(spark, sf_dir, "documents")

@@ -1,12 +1,12 @@
-"""Structured Streaming counterparts: sessions of events, deduplicated latest-wins upserts, incremental audits."""
+"""Sessions of events, and streams that run over what is there."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.session import new_folder
+
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream; its times carry no zone and are read as UTC."""
@@ -24,19 +24,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 def run_once(stream: DataFrame, name: str | None = None, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns its result as a table in the shared folder."""
-    spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillmark-streams").rstrip("/") + f"/stream-{name or 'q'}-{uuid.uuid4().hex[:10]}"
+    base = new_folder(stream.sparkSession, f"stream-{name or 'q'}")
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", base + "/state").option("path", base + "/out").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(base + "/out")
-
-
-def upsert(batch: DataFrame, path: str, key: str, order: str) -> None:
-    """For foreachBatch: the newest row per key of the table at ``path`` and of the batch, written to the next version folder."""
-    spark = batch.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(jvm)) if fs.exists(jvm) else []
-    rows = spark.read.parquet(f"{path}/v{versions[-1]}").unionByName(batch) if versions else batch
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(order)).alias("r")).select("r.*")
-    newest.write.parquet(f"{path}/v{versions[-1] + 1 if versions else 0}")
+    return stream.sparkSession.read.schema(stream.schema).parquet(base + "/out")
