@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillmark.session import written
 
 #: States of a label's provenance.
 STATUS = ("not_human_reviewed", "single_annotator", "dual_annotator_agreed", "dual_annotator_adjudicated", "published")
@@ -64,26 +64,40 @@ def validation(cases: DataFrame, key: str, required: dict[str, tuple[str, ...]])
     return out
 
 
-def joint_caps(cases: DataFrame, order: list[str], caps: dict[str, int], limit: int, room: int = 100_000) -> DataFrame:
-    """Greedy choice in order: a case is taken while none of its facets is full. It depends on what was taken before, so it runs as one
-    sequence over at most ``room`` first cases (a review packet is a few hundred); raise ``room`` for larger ones."""
-    schema = cases.schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict = {}
-        taken = 0
-        for frame in frames:
-            keep = []
-            for i, row in enumerate(frame.to_dict("records")):
-                facets = [(f, row[f]) for f in caps]
-                if taken < limit and all(counts.get(f, 0) < caps[f[0]] for f in facets):
-                    keep.append(i)
-                    taken += 1
-                    for f in facets:
-                        counts[f] = counts.get(f, 0) + 1
-            yield frame.iloc[keep]
-
-    return cases.orderBy(*order).limit(room).coalesce(1).mapInPandas(run, schema)
+def _last(rows: DataFrame, facet: str, cap: int) -> DataFrame:
+    """(value, last): where the cap-th of the rows with a value of the facet stands, for values that have so many."""
+    w = Window.partitionBy(facet).orderBy("__pos")
+    at = rows.select(facet, "__pos").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= cap)
+    return at.groupBy(F.col(facet).alias("value")).agg(F.max("__pos").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") == cap).drop("n")
+
+
+def _before_all(rows: DataFrame, of: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """Adds ``__fits``: whether a row stands before, or at, the end of each of its facets' values among the rows ``of``."""
+    fits = F.lit(True)
+    for i, (facet, cap) in enumerate(caps.items()):
+        rows = rows.join(_last(of, facet, cap).withColumnsRenamed({"value": f"__v{i}", "last": f"__l{i}"}), F.col(facet).eqNullSafe(F.col(f"__v{i}")) & F.col(f"__l{i}").isNotNull(), "left")
+        fits = fits & (F.col(f"__l{i}").isNull() | (F.col("__pos") <= F.col(f"__l{i}")))
+    return rows.withColumn("__fits", fits).drop(*(f"__{x}{i}" for i in range(len(caps)) for x in "vl"))
+
+
+def joint_caps(cases: DataFrame, order: list[str], caps: dict[str, int], limit: int) -> DataFrame:
+    """Greedy choice in order: a case is taken while none of its facets' values has as many taken as its cap allows; ``limit`` in all.
+
+    ``order`` is total. Rounds close in on the choice from both sides: a case is sure where even all that may be taken leave it room, and
+    goes where those that are sure leave it none. The first open case is settled in every round, and as a rule nearly all are in a
+    few. A value's end is the place of its cap-th row, so tasks send no more than cap rows of a value, however many it has.
+    """
+    if limit <= 0 or min(caps.values(), default=1) <= 0:
+        return cases.limit(0)
+    x = cases.withColumn("__pos", F.struct(*order))
+    while True:
+        x = _before_all(x, x, caps).withColumnRenamed("__fits", "__sure")
+        x = written(x, "caps")
+        if x.where(~F.col("__sure")).isEmpty():
+            break
+        x = _before_all(x.drop("__sure"), x.where("__sure"), caps).where("__fits").drop("__fits")
+        x = written(x, "caps")
+    return x.orderBy("__pos").limit(limit).select(*cases.columns)
 
 
 def source_health(calls: DataFrame) -> DataFrame:

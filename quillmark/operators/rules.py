@@ -99,28 +99,28 @@ SAFE = (
     r"|\bmust\s+not\b.*\b(?:fabricated|fake|false|hallucinated|forged)\b"
 )
 # Terms and patterns on Chinese text.
-ZH_OUTAGE = "源不可达 来源不可达 数据源不可达 源失败 来源失败 源故障 来源故障 检索失败 查询失败 超时 限流 未找到 找不到".split()
+ZH_OUTAGE = ("源不可达", "来源不可达", "数据源不可达", "源失败", "来源失败", "源故障", "来源故障", "检索失败", "查询失败", "超时", "限流", "未找到", "找不到")
 ZH_OUTAGE_NEAR = "(?:来源?|数据源).{0,4}(?:不可达|失败|故障)"
-ZH_FABRICATION = "伪造 虚假 编造 幻觉 捏造".split()
-ZH_CONFIDENCE = "提高 增加 提升 证明 证据 置信 确信".split()
-ZH_CONFIDENCE_REDUCTION = "降低 下调 减少".split()
-ZH_CERTAINTY = "置信 可信 确定".split()
-ZH_PROOF_DENIAL = "不能证明 无法证明 不可证明".split()
-ZH_EVIDENCE_DENIAL = "不是证据 并非证据 不构成证据 不能作为证据".split()
-ZH_CLASSIFICATION_DENIAL = "不应 不能 不可".split()
-ZH_CLASSIFICATION = "指控 判定 标记 归类".split()
-ZH_RETRY_OR_HEALTH = "来源健康 源健康 稍后重试 人工复核".split()
-ZH_INFERS = "证明 意味着 表明 判定 标记 归类 就是 作为 提高 增加 提升".split()
+ZH_FABRICATION = ("伪造", "虚假", "编造", "幻觉", "捏造")
+ZH_CONFIDENCE = ("提高", "增加", "提升", "证明", "证据", "置信", "确信")
+ZH_CONFIDENCE_REDUCTION = ("降低", "下调", "减少")
+ZH_CERTAINTY = ("置信", "可信", "确定")
+ZH_PROOF_DENIAL = ("不能证明", "无法证明", "不可证明")
+ZH_EVIDENCE_DENIAL = ("不是证据", "并非证据", "不构成证据", "不能作为证据")
+ZH_CLASSIFICATION_DENIAL = ("不应", "不能", "不可")
+ZH_CLASSIFICATION = ("指控", "判定", "标记", "归类")
+ZH_RETRY_OR_HEALTH = ("来源健康", "源健康", "稍后重试", "人工复核")
+ZH_INFERS = ("证明", "意味着", "表明", "判定", "标记", "归类", "就是", "作为", "提高", "增加", "提升")
 ZH_DENIES = "(?:不应|不能|不可(?:将|把|视为|判定|标记|归类))"
-ZH_UNIVERSAL = "一定 总是 所有 全部 必然 必须".split()
-ZH_NOT_UNIVERSAL = "未必 不一定 并非 不总是 不必 可选".split()
-ZH_IMPROVES = "提升 提高 增加 改善".split()
-ZH_NOT_IMPROVED = "降低 减少 未提升 没有提升 不提升 下降".split()
-ZH_SUPPORT_DENIED = "不支持 未支持 未必支持 不能支持".split()
-ZH_DETAILED = "所有 全部 完整 排除标准 纳入标准 补充材料 附录".split()
-ZH_DEFERRED = "未描述 没有描述 未报告 没有报告 详见补充材料 见补充材料 摘要仅 全文详见".split()
-ZH_REVIEWED = "独立评审 人工评审 人工标注 人工裁决".split()
-ZH_SYNTHETIC = "维护者合成 维护者编写 未人工评审 尚未人工评审 计划独立评审".split()
+ZH_UNIVERSAL = ("一定", "总是", "所有", "全部", "必然", "必须")
+ZH_NOT_UNIVERSAL = ("未必", "不一定", "并非", "不总是", "不必", "可选")
+ZH_IMPROVES = ("提升", "提高", "增加", "改善")
+ZH_NOT_IMPROVED = ("降低", "减少", "未提升", "没有提升", "不提升", "下降")
+ZH_SUPPORT_DENIED = ("不支持", "未支持", "未必支持", "不能支持")
+ZH_DETAILED = ("所有", "全部", "完整", "排除标准", "纳入标准", "补充材料", "附录")
+ZH_DEFERRED = ("未描述", "没有描述", "未报告", "没有报告", "详见补充材料", "见补充材料", "摘要仅", "全文详见")
+ZH_REVIEWED = ("独立评审", "人工评审", "人工标注", "人工裁决")
+ZH_SYNTHETIC = ("维护者合成", "维护者编写", "未人工评审", "尚未人工评审", "计划独立评审")
 # What a probe adds to the claim, and the words that call for it.
 PROBES = (
     ("improvement_negation", r"\b(improves?|improved|increase[sd]?|boosts?|raises?|gains?)\b", (), "does not improve no improvement decreases worse"),
@@ -160,19 +160,19 @@ class Rule:
 
 
 RULES = (
-    Rule("en_improvement", "en", "contradiction", re_(IMPROVES), re_(NOT_IMPROVED)),
-    Rule("en_necessity", "en", "contradiction", re_(NECESSARY), re_(OPTIONAL)),
-    Rule("en_support", "en", "contradiction", all_(re_(SUPPORTS), not_(re_(NO_SUPPORT_CLAIM))), re_(SUPPORT_DENIED)),
-    Rule("en_verdict", "en", "contradiction", re_(VERDICT), re_(VERDICT_DENIED)),
-    Rule("en_fabrication", "en", "contradiction", re_(FABRICATED), re_(FABRICATED_DENIED)),
-    Rule("zh_universal", "zh", "contradiction", any_(*ZH_UNIVERSAL), any_(*ZH_NOT_UNIVERSAL)),
-    Rule("zh_improvement", "zh", "contradiction", any_(*ZH_IMPROVES), any_(*ZH_NOT_IMPROVED)),
-    Rule("zh_support", "zh", "contradiction", all_(any_("支持"), not_(any_(*ZH_SUPPORT_DENIED))), any_(*ZH_SUPPORT_DENIED)),
-    Rule("en_full_text", "en", "boundary", re_(DETAILED), re_(DEFERRED)),
-    Rule("zh_full_text", "zh", "boundary", any_(*ZH_DETAILED), any_(*ZH_DEFERRED)),
-    Rule("en_provenance", "en", "boundary", re_(HUMAN_REVIEWED), re_(SYNTHETIC)),
-    Rule("zh_provenance", "zh", "boundary", all_(any_("基准"), any_(*ZH_REVIEWED)), any_(*ZH_SYNTHETIC)),
-    Rule("source_outage", "both", "outage", all_(_outage, or_(re_(FAKE), any_(*ZH_FABRICATION), re_(CONFIDENCE), any_(*ZH_CONFIDENCE)), _unsafe), all_(_outage, or_(re_(SAFE), _zh_safe))),
+    Rule("en_improvement_denial", "en", "contradiction", re_(IMPROVES), re_(NOT_IMPROVED)),
+    Rule("en_necessity_denial", "en", "contradiction", re_(NECESSARY), re_(OPTIONAL)),
+    Rule("en_support_denial", "en", "contradiction", all_(re_(SUPPORTS), not_(re_(NO_SUPPORT_CLAIM))), re_(SUPPORT_DENIED)),
+    Rule("en_verdict_classification_denial", "en", "contradiction", re_(VERDICT), re_(VERDICT_DENIED)),
+    Rule("en_fabrication_denial", "en", "contradiction", re_(FABRICATED), re_(FABRICATED_DENIED)),
+    Rule("zh_universal_denial", "zh", "contradiction", any_(*ZH_UNIVERSAL), any_(*ZH_NOT_UNIVERSAL)),
+    Rule("zh_improvement_denial", "zh", "contradiction", any_(*ZH_IMPROVES), any_(*ZH_NOT_IMPROVED)),
+    Rule("zh_support_denial", "zh", "contradiction", all_(any_("支持"), not_(any_(*ZH_SUPPORT_DENIED))), any_(*ZH_SUPPORT_DENIED)),
+    Rule("full_text_boundary_en", "en", "boundary", re_(DETAILED), re_(DEFERRED)),
+    Rule("full_text_boundary_zh", "zh", "boundary", any_(*ZH_DETAILED), any_(*ZH_DEFERRED)),
+    Rule("human_review_provenance_boundary", "en", "boundary", re_(HUMAN_REVIEWED), re_(SYNTHETIC)),
+    Rule("human_review_provenance_boundary_zh", "zh", "boundary", all_(any_("基准"), any_(*ZH_REVIEWED)), any_(*ZH_SYNTHETIC)),
+    Rule("source_outage_safety", "both", "outage", all_(_outage, or_(re_(FAKE), any_(*ZH_FABRICATION), re_(CONFIDENCE), any_(*ZH_CONFIDENCE)), _unsafe), all_(_outage, or_(re_(SAFE), _zh_safe))),
 )
 
 

@@ -11,24 +11,24 @@ from quillmark.operators import assess, evaluate, extract, resolve, rules
 
 #: claim, evidence, the rules that fire
 PAIRS = [
-    ("Pruning improves speed", "Pruning did not improve speed", ["en_improvement"]),
+    ("Pruning improves speed", "Pruning did not improve speed", ["en_improvement_denial"]),
     ("Pruning improves speed", "Pruning improves speed", []),
-    ("A seed is always required", "A seed is optional", ["en_necessity"]),
+    ("A seed is always required", "A seed is optional", ["en_necessity_denial"]),
     ("A seed may help", "A seed is optional", []),
-    ("The survey supports it", "The survey fails  to support it", ["en_support"]),
+    ("The survey supports it", "The survey fails  to support it", ["en_support_denial"]),
     ("The survey does not support it", "The survey does not support it", []),
-    ("A match is the final verdict", "A match must not be treated as a verdict", ["en_verdict"]),
-    ("The tool flags it as fabricated", "The tool did not flag it as fabricated", ["en_fabrication"]),
-    ("See the complete criteria", "Criteria are available in the full-text", ["en_full_text"]),
-    ("An adjudicated benchmark", "Cases are maintainer authored", ["en_provenance"]),
-    ("A missing source proves it is fake", "A missing source is not proof that it is fake", ["source_outage"]),
-    ("模型一定更好", "模型未必更好", ["zh_universal"]),
-    ("训练提高了精度", "训练后精度下降", ["zh_improvement"]),
-    ("文章支持该说法", "文章不支持该说法", ["zh_support"]),
+    ("A match is the final verdict", "A match must not be treated as a verdict", ["en_verdict_classification_denial"]),
+    ("The tool flags it as fabricated", "The tool did not flag it as fabricated", ["en_fabrication_denial"]),
+    ("See the complete criteria", "Criteria are available in the full-text", ["full_text_boundary_en"]),
+    ("An adjudicated benchmark", "Cases are maintainer authored", ["human_review_provenance_boundary"]),
+    ("A missing source proves it is fake", "A missing source is not proof that it is fake", ["source_outage_safety"]),
+    ("模型一定更好", "模型未必更好", ["zh_universal_denial"]),
+    ("训练提高了精度", "训练后精度下降", ["zh_improvement_denial"]),
+    ("文章支持该说法", "文章不支持该说法", ["zh_support_denial"]),
     ("文章不支持该说法", "文章不支持该说法", []),
-    ("给出完整附录", "摘要仅作说明", ["zh_full_text"]),
-    ("基准已人工标注", "基准为维护者合成", ["zh_provenance"]),
-    ("来源失败证明论文是伪造", "来源失败不能证明论文是伪造", ["source_outage"]),
+    ("给出完整附录", "摘要仅作说明", ["full_text_boundary_zh"]),
+    ("基准已人工标注", "基准为维护者合成", ["human_review_provenance_boundary_zh"]),
+    ("来源失败证明论文是伪造", "来源失败不能证明论文是伪造", ["source_outage_safety"]),
     (None, "", []),
 ]
 
