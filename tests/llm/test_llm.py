@@ -735,3 +735,40 @@ def test_pipeline_keeps_one_row_of_each_component(spark):
     got = collections.Counter(r["text"] for r in out.collect())
     assert got.pop(texts[0], 0) + got.pop(near, 0) == 1
     assert got == collections.Counter([*texts[1:], None, ""])
+
+
+ODD_NAMES = "doc_id long, text string, lang string, source string, n_chars long, `__row` string, `__position` int, `__rejected` boolean, `a.b` string, `extra0` int, `row` int"
+
+
+def _odd(spark, n):
+    rng = random.Random(13)
+    rows = [(i, t, lang, "s" if i % 3 else None, len(t or ""), f"r{i}", i, None, "x", i, -i) for i, (_, t, lang, _) in enumerate([*_two_languages(spark)[:120], (0, None, None, ""), (0, "", "xx", ""), (0, "kato mi " * 30_000, None, "")])]
+    return spark.createDataFrame(rows[:n], ODD_NAMES)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 200])
+def test_stages_keep_columns_of_any_name(spark, rows):
+    import corpus_pipeline
+
+    docs = _odd(spark, rows)
+    held = {r["doc_id"]: tuple(r)[5:] for r in docs.collect()}
+    work = Scratch(spark, "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        docs = spark.read.schema(out.schema).parquet(work.table(out, name))
+        assert all(tuple(r)[5:] == held[r["doc_id"]] for r in docs.collect())
+    assert docs.count() >= min(rows, 50) - 1
+    packed = corpus_pipeline.packed(spark, docs, "")
+    assert (packed.count() > 0) == (docs.count() > 0)
+
+
+def test_run_on_an_empty_table_and_on_whole_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    documents(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rows = [*_two_languages(spark)[:60], (900, "kato mi toka " * 20_000, "xx", "s")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/some/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert out.where("doc_id = 900").agg(F.count(F.lit(1)).alias("n")).first()["n"] > 10
