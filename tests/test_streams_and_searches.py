@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import STOPWORDS
-from quillmark.operators import audit, chunks, counter, labels, multisource, retrieve, rules, similarity
+from quillmark.operators import audit, chunks, counter, labels, mixed, multisource, retrieve, rules, similarity
 from quillmark.plans import catalogue, extended
 from quillmark.session import new_folder, shared_dir
 from quillmark.sources import adapters as A
@@ -413,3 +413,22 @@ def test_cascade_by_prepared_lookups(spark, sf_dir):
     made = audit.Lookups(corpus, new_folder(spark, "lookups"))
     one, two = (sorted(map(str, audit.cascade(cands, x).collect())) for x in (corpus, made))
     assert one == two
+
+
+def test_mixed_batches(spark):
+    """Items by index: a fault is a row; a single citation and a set are folded by their own rules."""
+    verdicts = {1: ("supported", 0.8, "abstract", "verified"), 2: ("weakly_supported", 0.4, "title", "verified"), 3: ("weakly_supported", 0.6, "full_text", "verified"), 4: ("contradicted", 0.7, "abstract", "verified"), 5: ("insufficient_evidence", 0.0, "none", "ambiguous"), 6: ("insufficient_evidence", 0.0, "none", "verified")}
+    items = [(0, "c", [1], None), (1, "c", [2, 3], None), (2, " ", [1], None), (3, "c", [], None), (4, "c", None, None), (5, "c", [1, 4, 2], None), (6, "c", [5], None), (7, "c", [2], "citation_set"), (8, "c", [6], ""), (9, "c", [1], "odd"), (10, "c", [99], None), (11, "c", [2, 1, 1], "citation")]
+    df = spark.createDataFrame(items, "idx long, claim string, citations array<long>, input_mode string").repartition(3)
+    known = spark.createDataFrame([(k, *v, "heuristic") for k, v in verdicts.items()], "citation long, verdict string, confidence double, scope string, resolution string, engine string")
+    got = {r["idx"]: r for r in mixed.audit_items(df, lambda pairs: pairs.join(known, "citation")).collect()}
+    assert sorted(got) == list(range(12))
+    assert [got[i]["error"] for i in (2, 3, 4, 9)] == ["missing_claim", "missing_citation", "missing_citation", "unknown_mode"] and all(got[i]["verdict"] is None for i in (2, 3, 4, 9))
+    show = lambda i: (got[i]["input_mode"], got[i]["verdict"], got[i]["confidence"], got[i]["risk_score"], got[i]["evidence_scope"], got[i]["support_mode"], got[i]["next_action"], got[i]["counterevidence_reason"])
+    assert show(0) == ("citation", "supported", 0.8, 0.05, "abstract", None, "keep_claim", "")
+    assert show(1) == ("citation_set", "weakly_supported", 0.5, 0.6, "mixed_with_full_text", "multiple_weak_support", "tighten_claim_or_inspect_full_text", "weak_support")
+    assert show(5) == ("citation_set", "contradicted", 0.7, 0.98, "abstract", "contradiction_dominates", "rewrite_or_replace_evidence", "contradicted")
+    assert show(6) == ("citation", "insufficient_evidence", 0.0, 0.9, "none", None, "disambiguate_identifier", "unresolved_citation")
+    assert show(7) == ("citation_set", "weakly_supported", 0.4, 0.6, "title", "single_weak_support", "tighten_claim_or_inspect_full_text", "weak_support")
+    assert show(8)[6:] == ("inspect_full_text_or_find_stronger_citation", "heuristic_limited") and show(10)[7] == "no_evidence_text"
+    assert show(11)[:2] == ("citation", "weakly_supported") and (got[5]["supporting"], got[5]["contradicting"]) == (2, 1)
