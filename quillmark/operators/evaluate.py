@@ -44,11 +44,13 @@ def per_label(x: DataFrame) -> DataFrame:
 
 
 def averages(labels: DataFrame) -> DataFrame:
-    """Macro and gold-weighted averages of the rounded per-label values."""
+    """Macro and gold-weighted averages of the rounded per-label values, in whole ten-thousandths: a half is rounded up, whatever the order of the sum."""
+    half_up = lambda s, n: F.floor((2 * s + n) / (2 * n)) / 10_000.0
     out = []
     for c in ("prec", "recall", "f1"):
-        out.append(F.round(F.sum(c) / F.count(F.lit(1)), 4).alias(f"macro_{c}"))
-        out.append(F.round(F.sum(F.col(c) * F.col("gold")) / F.greatest(F.sum("gold"), F.lit(1)), 4).alias(f"weighted_{c}"))
+        whole = F.round(F.col(c) * 10_000).cast("long")
+        out.append(half_up(F.sum(whole), F.count(F.lit(1))).alias(f"macro_{c}"))
+        out.append(half_up(F.sum(whole * F.col("gold")), F.greatest(F.sum("gold"), F.lit(1))).alias(f"weighted_{c}"))
     return labels.agg(*out)
 
 

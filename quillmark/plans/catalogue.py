@@ -622,7 +622,11 @@ def per_label(spark, sf):
     return evaluate.per_label(A.judged(spark, sf))
 
 
-@_query("macro_weighted", f"WITH {_J}, {_LABELS} SELECT " + ", ".join(f"round(sum({c}) / count(*), 4) AS macro_{c}, round(sum({c} * gold) / greatest(sum(gold), 1), 4) AS weighted_{c}" for c in ("prec", "recall", "f1")) + " FROM m")
+_WHOLE_SUM = lambda c, by: f"sum(CAST(round({c} * 10000) AS BIGINT){by})"
+_HALF_UP = lambda s, n: f"floor((2 * {s} + {n}) / (2 * {n})) / 10000.0::DOUBLE"
+
+
+@_query("macro_weighted", f"WITH {_J}, {_LABELS} SELECT " + ", ".join(f"{_HALF_UP(_WHOLE_SUM(c, ''), 'count(*)')} AS macro_{c}, {_HALF_UP(_WHOLE_SUM(c, ' * gold'), 'greatest(sum(gold), 1)')} AS weighted_{c}" for c in ("prec", "recall", "f1")) + " FROM m")
 def macro_weighted(spark, sf):
     return evaluate.averages(evaluate.per_label(A.judged(spark, sf)))
 
