@@ -204,17 +204,17 @@ def tex_parts(files: DataFrame) -> DataFrame:
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         at = {posixpath.normpath(p): i for i, p in enumerate(frame["path"])}
-        seen: list[int] = []
+        seen: dict[int, None] = {}  # in the order of reading
         stack = sorted((i for i, m in enumerate(frame["main"]) if m), key=lambda i: frame["path"].iloc[i], reverse=True)
         while stack:
             i = stack.pop()
             if i in seen:
                 continue
-            seen.append(i)
+            seen[i] = None
             folder = posixpath.dirname(frame["path"].iloc[i])
             found = (at.get(posixpath.normpath(posixpath.join(folder, n))) for n in frame["links"].iloc[i])
             stack += [j for j in reversed([*found]) if j is not None and j not in seen]
-        out = frame.iloc[seen][["project", "path", "text"]].copy()
+        out = frame.iloc[list(seen)][["project", "path", "text"]].copy()
         out.insert(1, "ord", range(len(out)))
         return out
 
