@@ -131,16 +131,19 @@ def _placed(spark: SparkSession, work: Scratch, rows: DataFrame, weights: dict |
     return y.join(far, "far").select("row", "doc_id", "source", "chars", "block", "slot", (F.col("base") + F.col("near")).alias("position"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, partitions: int | None = None) -> DataFrame:
-    """All rows and columns of ``docs``, sorted by their place in the mixture: partitions are consecutive ranges of it."""
-    names = docs.columns
-    work = Scratch(spark, "mix")
-    whole = work.write(docs.select(F.monotonically_increasing_id().alias("__row"), "*"), "docs")
-    rows = whole.select(F.col("__row").alias("row"), *_key(docs))
-    place = _placed(spark, work, rows, weights, block_chars, HYPER).select(F.col("row").alias("__row"), F.col("position").alias("__position"))
+def mix(spark: SparkSession, docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, partitions: int | None = None, row: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, sorted by their place in the mixture: partitions are consecutive ranges of it.
+
+    ``row``: a column of ``docs`` that numbers its rows, alike whenever they are read, and is left out of the result. Without one the rows are
+    written once with numbers.
+    """
+    names = [c for c in docs.columns if c != row]
+    whole = docs.withColumnRenamed(row, "__row") if row else Scratch(spark, "mix").write(docs.select(F.monotonically_increasing_id().alias("__row"), "*"), "docs")
+    rows = Scratch(spark, "mix").write(whole.select(F.col("__row").alias("row"), *_key(docs.select(*(F.col(f"`{c}`") for c in names)))), "rows")
+    place = _placed(spark, Scratch(spark, "mix"), rows, weights, block_chars, HYPER).select(F.col("row").alias("__row"), F.col("position").alias("__position"))
     joined = whole.join(place, "__row")
     n = [partitions] if partitions else []
-    return joined.repartitionByRange(*n, "__position").sortWithinPartitions("__position").select(*names)
+    return joined.repartitionByRange(*n, "__position").sortWithinPartitions("__position").select(*(F.col(f"`{c}`") for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
