@@ -9,8 +9,10 @@ tokens into sequences. Columns that a stage does not use may have any name; an e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmark.llm import langid, minhash, mixing, packing, pii
 from quillmark.llm.scratch import Scratch
@@ -22,8 +24,30 @@ USED = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+#: Up to so many files (about 100 bytes each) number the rows of a table; the rows of more are written once with numbers.
+MAX_FILES = 200_000
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`").alias(c if c in USED else f"extra{i}") for i, c in enumerate(docs.columns)]
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(*(F.col(f"`{c}`").alias(c if c in USED else f"extra{i}") for i, c in enumerate(docs.columns)))
+    return docs.select(*_columns(docs))
+
+
+def _with_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Adds ``row``, the number of the row's file and its place there: the same whenever the files are read, so they need no copy."""
+    work = Scratch(spark, "rows")
+    try:
+        rows = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").cast("long").alias("place"), *_columns(docs))
+        files = work.write(docs.select(F.col("_metadata.file_path").alias("path")).distinct(), "files")
+    except AnalysisException:  # not read from files
+        files = None
+    if files is None or files.count() > MAX_FILES:
+        return work.write(docs.select(F.monotonically_increasing_id().alias("row"), *_columns(docs)), "docs")
+    files = files.select("path", F.row_number().over(Window.orderBy("path")).cast("long").alias("file"))
+    return rows.join(F.broadcast(files), "path").withColumn("row", F.shiftleft("file", 40) + F.col("place")).drop("path", "file", "place")
 
 
 def _named(kept: DataFrame, docs: DataFrame) -> DataFrame:
@@ -41,10 +65,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of links (80 % of the five-word shingles) stays, the first by a row number; doc_ids may repeat or be null."""
-    whole = Scratch(spark, "rows").write(_numbered(docs).select(F.monotonically_increasing_id().alias("__row"), "*"), "docs")
-    found = minhash.near_duplicates(spark, whole.select(F.col("__row").alias("doc_id"), "text"))
-    kept = found.where("kept").select(F.col("doc_id").alias("__row"))
-    return _named(whole.join(kept, "__row", "left_semi"), docs)
+    whole = _with_rows(spark, docs)
+    found = minhash.near_duplicates(spark, whole.select(F.col("row").alias("doc_id"), "text"))
+    return _named(whole.join(found.where("kept").select(F.col("doc_id").alias("row")), "row", "left_semi"), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +77,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture."""
-    return _named(mixing.mix(spark, _numbered(docs)), docs)
+    return _named(mixing.mix(spark, _with_rows(spark, docs), row="row"), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
