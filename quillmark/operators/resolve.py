@@ -14,8 +14,11 @@ from pyspark.sql.window import Window
 from quillmark.functions.ident import author_coverage, base_arxiv, normalize_arxiv, normalize_doi, year_matches
 from quillmark.functions.text import blank, normalize_text
 from quillmark.operators import audit, retrieve, similarity
+from quillmark.session import written
 
 POOL, SEARCH = 20, 5
+#: Weights of overlap and similarity in a search.
+SEARCH_WEIGHTS = (0.6, 0.4)
 FIELDS = ("title", "authors", "year", "venue", "doi", "arxiv_id")
 #: Fixed value: the source that is asked about each identifier.
 AUTHORITY = {"arxiv_id": "arxiv", "doi": "crossref"}
@@ -40,7 +43,7 @@ def rank_score(overlap: Column, title: Column, cited: Column, complete: Column)
 
 
 def search_score(overlap: Column, title: Column) -> Column:
-    return 0.6 * overlap + 0.4 * title
+    return SEARCH_WEIGHTS[0] * overlap + SEARCH_WEIGHTS[1] * title
 
 
 def identifier_status(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -59,16 +62,18 @@ def scored(candidates: DataFrame, corpus: DataFrame, ids: DataFrame, pool: int =
     """(cand_id, doc_id, score): union of what the identifier names and what the search finds, each record once."""
     asked = candidates.select(F.col("cand_id").alias("query_id"), "title")
     shared = retrieve.overlap_search(corpus.select("doc_id", "title"), "doc_id", "title", asked, "title", pool).select("query_id", "doc_id", F.col("score").alias("overlap"))
-    titles = shared.join(asked, "query_id").join(corpus.select("doc_id", F.col("title").alias("name")), "doc_id")
-    titles = titles.withColumn("sim", similarity.sequence_similarity(F.col("title"), F.col("name"))).withColumn("score", search_score(F.col("overlap"), F.col("sim")))
-    near = retrieve.top_k(titles.select("query_id", "doc_id", "score", "sim"), "doc_id", search).select(F.col("query_id").alias("cand_id"), "doc_id", "sim")
+    names = corpus.select("doc_id", normalize_text("title").alias("name"))
+    lists = shared.join(names, "doc_id").groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "overlap", "name")).alias("found"))  # ``pool`` at most
+    best = similarity.nearest(search, *SEARCH_WEIGHTS)(normalize_text("title"), F.col("found"))
+    near = lists.join(asked, "query_id").select(F.col("query_id").alias("cand_id"), F.explode(best).alias("x")).select("cand_id", "x.doc_id", "x.sim")
     hits = ids.where("hit is not null").select("cand_id", F.col("hit").alias("doc_id"))
     every = hits.select("cand_id", "doc_id", F.lit(None).cast("double").alias("sim")).unionByName(near).groupBy("cand_id", "doc_id").agg(F.max("sim").alias("sim"))
     x = every.join(candidates.select("cand_id", F.struct(*FIELDS).alias("cand")), "cand_id").join(corpus.select("doc_id", F.struct(*FIELDS).alias("rec"), "suspect"), "doc_id")
     equal = lambda f, norm: (F.length(blank(F.col(f"cand.{f}"))) > 0) & (norm(F.col(f"cand.{f}")) == norm(F.col(f"rec.{f}")))
     same = equal("doi", normalize_doi) | equal("arxiv_id", base_arxiv)
     # the record of an identifier is compared only where its title was not already
-    sim = F.coalesce("sim", similarity.sequence_similarity(F.col("cand.title"), F.col("rec.title")))
+    unknown = F.col("sim").isNull()
+    sim = F.coalesce("sim", similarity.sequence_similarity(F.when(unknown, F.col("cand.title")), F.when(unknown, F.col("rec.title"))))
     score = audit.match_score(sim, author_coverage(F.col("cand.authors"), F.col("rec.authors")), year_matches(F.col("cand.year"), F.col("rec.year")))
     return x.select("cand_id", "doc_id", F.when(same, 1.0).otherwise(score).alias("score"), F.col("rec.year").alias("year"), "suspect")
 
@@ -95,7 +100,7 @@ def outcome(candidates: DataFrame, corpus: DataFrame, **options) -> DataFrame:
 
 def verify(candidates: DataFrame, corpus: DataFrame, **options) -> DataFrame:
     """(cand_id, verdict, confidence, score, doc_id, mismatched, alternatives, id_status) for every candidate."""
-    found = outcome(candidates, corpus, **options).persist()  # a small row for each candidate, read for the fields and for the verdict
+    found = written(outcome(candidates, corpus, **options), "outcomes")  # a small row for each candidate, read for the fields and for the verdict
     pairs = found.where(F.col("score") >= audit.STRONG).join(candidates.select("cand_id", F.struct(*FIELDS).alias("cand")), "cand_id").join(corpus.select("doc_id", F.struct(*FIELDS).alias("rec")), "doc_id")
     fields = audit.field_diffs(pairs.select("cand_id", "cand", "rec"), similarity.sequence_similarity)
     bad = fields.where(~F.col("matches")).groupBy("cand_id").agg(F.array_join(F.sort_array(F.collect_list("field")), ",").alias("mismatched"))
