@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from quillmark.operators import retrieve, similarity
+from quillmark.operators import counter, retrieve, similarity
 
 
 def _texts(rng, n, words):
@@ -56,3 +56,16 @@ def test_nearest_equals_all_ratios(spark):
         ratio = {d: SequenceMatcher(None, r["t"], n).ratio() if r["t"] and n else 0.0 for d, _, n in r["found"]}
         want = sorted((-(0.6 * o + 0.4 * ratio[d]), d) for d, o, _ in r["found"])[:5]
         assert [(x["doc_id"], x["sim"]) for x in r["x"]] == [(d, ratio[d]) for _, d in want]
+
+
+def test_leads_hold_no_texts(spark, monkeypatch):
+    kept = {}
+    plain = counter.written
+    monkeypatch.setattr(counter, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    claims = spark.createDataFrame([(1, "The method improves recall of x")], "claim_id long, claim string")
+    records = spark.createDataFrame([(7, "It does not improve recall of x", "Long text. " * 9, "", "", 0.5)], "doc_id long, title string, abstract string, doi string, arxiv_id string, source_score double")
+    r = counter.search(claims, "claim_id", "claim", records, 3).collect()
+    assert "string" not in kept["leads"].schema.simpleString()
+    assert len(r) == 1 and r[0]["roles"][0] == "claim_similarity" and r[0]["queries"][0] == "The method improves recall of x"
+    assert r[0]["roles"][1] == "improvement_negation" and r[0]["queries"][1] == "The method improves recall of x does not improve no improvement decreases worse"
+    assert r[0]["evidence_scope"] == "abstract" and r[0]["snippet"].startswith("Long text.") and r[0]["signal"] == "explicit_contradiction_cue"
