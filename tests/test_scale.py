@@ -69,3 +69,47 @@ def test_leads_hold_no_texts(spark, monkeypatch):
     assert len(r) == 1 and r[0]["roles"][0] == "claim_similarity" and r[0]["queries"][0] == "The method improves recall of x"
     assert r[0]["roles"][1] == "improvement_negation" and r[0]["queries"][1] == "The method improves recall of x does not improve no improvement decreases worse"
     assert r[0]["evidence_scope"] == "abstract" and r[0]["snippet"].startswith("Long text.") and r[0]["signal"] == "explicit_contradiction_cue"
+
+
+def test_a_title_with_one_character_more_needs_no_comparison_with_all(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    rights = sorted({"".join(rng.choice("abcd 中") for _ in range(rng.randint(1, 30))).strip() for _ in range(300)} - {""})
+    cut = [(r[:i] + r[i + 1 :]).strip() for r in rights[::2] for i in (0, len(r) // 2, len(r) - 1)]
+    lefts = sorted(({*cut, *("".join(rng.choice("abcd ") for _ in range(12)).strip() for _ in range(50))}) - set(rights) - {""})
+    compared = []
+    plain = similarity.matches
+    monkeypatch.setattr(similarity, "matches", lambda a, b: compared.extend(r["t"] for r in a.rows.collect()) or plain(a, b))
+    table = lambda xs: spark.createDataFrame([(x,) for x in xs], "t string")
+    got = {}
+    for r in similarity.best_matches(table(lefts), similarity.SignedTexts(table(rights), 0.85)).collect():
+        got.setdefault(r["left"], set()).add((r["score"], r["right"]))
+    for a in lefts:
+        scores = {b: SequenceMatcher(None, a, b).ratio() for b in rights}
+        top = max(scores.values())
+        best = {b for b, s in scores.items() if s == top and s >= 0.85}
+        found = got.get(a, set())
+        assert {b for s, b in found if s == max(x for x, _ in found)} == best
+        if top == 2.0 * len(a) / (2 * len(a) + 1) and top >= 0.85:
+            assert a not in compared
+    assert compared
+
+
+def test_pairs_of_a_block_are_compared_in_parts(spark, monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = sorted({"".join(rng.choice("ab") for _ in range(20)) for _ in range(200)})
+    part = next(similarity._signatures(2)(iter([pd.DataFrame({"t": texts})])))
+    t = pa.table({"t": texts, "n": part["n"].to_numpy(), **{f"s{i}": [x[i] for x in part["signs"]] for i in range(6)}})
+    whole = similarity._near_pairs(0.85, 2)(t, t)
+    monkeypatch.setattr(similarity, "HELD", 64)
+    monkeypatch.setattr(similarity, "AT_ONCE", 256)
+    sizes = []
+    plain = similarity.common_lengths
+    monkeypatch.setattr(similarity, "common_lengths", lambda a, b, i, j: sizes.append(len(i)) or plain(a, b, i, j))
+    parts = similarity._near_pairs(0.85, 2)(t, t)
+    assert sorted(map(str, parts.to_pylist())) == sorted(map(str, whole.to_pylist())) and parts.num_rows > len(texts)
+    assert len(sizes) > 1 and max(sizes) <= 64 + 256
