@@ -113,3 +113,19 @@ def test_pairs_of_a_block_are_compared_in_parts(spark, monkeypatch):
     parts = similarity._near_pairs(0.85, 2)(t, t)
     assert sorted(map(str, parts.to_pylist())) == sorted(map(str, whole.to_pylist())) and parts.num_rows > len(texts)
     assert len(sizes) > 1 and max(sizes) <= 64 + 256
+
+
+def test_few_asked_tokens_are_counted_in_the_task(spark, monkeypatch):
+    texts = ["a cat sat, the cat", "", None, "dog 中文字 cat", "of the", "dog dog"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    q = retrieve.query_terms(spark.createDataFrame([(1, "cat 中文 bird")], "query_id long, q string"), "q")
+    rows = lambda: sorted((r["doc_id"], r["n_tokens"], round(r["norm"], 9), sorted(map(tuple, r["hits"]))) for r in retrieve.asked_terms(d, "doc_id", "t", q).collect())
+    with monkeypatch.context() as m:
+        m.setattr(retrieve, "ASKED", 0)
+        want = rows()
+
+    def never(*_):
+        raise AssertionError("a row for each token")
+
+    monkeypatch.setattr(retrieve, "tokens", never)
+    assert rows() == want
