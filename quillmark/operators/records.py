@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import posixpath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quillmark.functions.ident import author_coverage, base_arxiv, extract_arxiv, extract_doi, extract_year, gbt_reference, normalize_arxiv, normalize_doi, stable_id, year_matches
 from quillmark.functions.text import blank
@@ -197,26 +198,32 @@ def bibliography_links(files: DataFrame) -> DataFrame:
     return x.select("path", "ord", F.when(F.col("name").startswith("/"), F.col("name")).otherwise(F.concat("folder", "name")).alias("link"))
 
 
-def tex_parts(files: DataFrame) -> DataFrame:
-    r"""(project, ord, path, text): the main file of every project and what it includes by ``\input`` and ``\include``, depth first, each file
-    once. ``files``: project, path, text, main. Files that are not there are passed over. A project's files are read by one task, as one manuscript is."""
-    x = files.select("project", "path", "text", "main", _linked(F.col("text"), r"\\(?:input|include)\{([^}]+)\}", ".tex").alias("links"))
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        at = {posixpath.normpath(p): i for i, p in enumerate(frame["path"])}
+@F.arrow_udf(ArrayType(IntegerType()))
+def _reading_order(projects: pa.Array) -> pa.Array:
+    """Of each project's files (structs of path, main and links) the places of those that are read, in the order of reading."""
+    out = []
+    for files in projects.to_pylist():
+        at = {posixpath.normpath(f["path"]): i for i, f in enumerate(files)}
         seen: dict[int, None] = {}  # in the order of reading
-        stack = sorted((i for i, m in enumerate(frame["main"]) if m), key=lambda i: frame["path"].iloc[i], reverse=True)
+        stack = sorted((i for i, f in enumerate(files) if f["main"]), key=lambda i: files[i]["path"], reverse=True)
         while stack:
             i = stack.pop()
             if i in seen:
                 continue
             seen[i] = None
-            folder = posixpath.dirname(frame["path"].iloc[i])
-            found = (at.get(posixpath.normpath(posixpath.join(folder, n))) for n in frame["links"].iloc[i])
+            folder = posixpath.dirname(files[i]["path"])
+            found = (at.get(posixpath.normpath(posixpath.join(folder, n))) for n in files[i]["links"])
             stack += [j for j in reversed([*found]) if j is not None and j not in seen]
-        out = frame.iloc[list(seen)][["project", "path", "text"]].copy()
-        out.insert(1, "ord", range(len(out)))
-        return out
+        out.append([*seen])
+    return pa.array(out, pa.list_(pa.int32()))
 
-    kind = dict(files.dtypes)["project"]
-    return x.groupBy("project").applyInPandas(walk, f"project {kind}, ord int, path string, text string")
+
+def tex_parts(files: DataFrame) -> DataFrame:
+    r"""(project, ord, path, text): the main file of every project and what it includes by ``\input`` and ``\include``, depth first, each file
+    once. ``files``: project, path, text, main. Files that are not there are passed over. A project's files are one row, as one manuscript is;
+    Python sees batches of projects, and no texts."""
+    x = files.select("project", "path", "text", "main", _linked(F.col("text"), r"\\(?:input|include)\{([^}]+)\}", ".tex").alias("links"))
+    x = x.groupBy("project").agg(F.collect_list(F.struct("path", "text", "main", "links")).alias("files"))
+    x = x.withColumn("order", _reading_order(F.transform("files", lambda f: F.struct(f["path"].alias("path"), f["main"].alias("main"), f["links"].alias("links")))))
+    x = x.select("project", "files", F.posexplode("order").alias("ord", "i")).withColumn("f", F.get("files", F.col("i")))
+    return x.select("project", "ord", "f.path", "f.text")

@@ -118,6 +118,23 @@ def test_files_of_a_manuscript(spark):
     assert [(r["path"], r["ord"], r["link"]) for r in records.bibliography_links(files).orderBy("ord").collect()] == [("p/b.tex", 0, "p/x.bib"), ("p/b.tex", 1, "p/z.bib")]
 
 
+def test_projects_are_read_in_batches(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    def never(*_, **__):
+        raise AssertionError("a call for each project")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", never)
+    rows = [(k, f"{k}/{n}", t, m) for k in range(40) for n, t, m in (("b.tex", r"\input{../%d/c,./a}" % k, True), ("a.tex", r"\include{b} \input{d}", True), ("c.tex", None, False), ("free.tex", "x", None))]
+    rows += [(None, "n.tex", "no project", True), (90, "90/a.tex", "no main file", False)]
+    files = spark.createDataFrame(rows, "project long, path string, text string, main boolean")
+    got = {}
+    for r in records.tex_parts(files).orderBy("project", "ord").collect():
+        got.setdefault(r["project"], []).append((r["ord"], r["path"], r["text"]))
+    text = {(p, f): t for p, f, t, _ in rows}
+    assert got == {k: [(i, f"{k}/{n}.tex", text[k, f"{k}/{n}.tex"]) for i, n in enumerate("abc")] for k in range(40)} | {None: [(0, "n.tex", "no project")]}
+
+
 def test_loose_lists():
     text = "Intro.\n- Lee, A. A long enough title, 2019.\n  and its tail\nplain words\n\\section{x}\nBrown, C. On things. Physical Review, 2011.\n* no cite\n"
     assert extract.loose_references(text) == [("Lee, A. A long enough title, 2019. and its tail", 2, 3), ("Brown, C. On things. Physical Review, 2011.", 6, 6)]
