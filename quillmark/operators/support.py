@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import bigrams, collapse, normalize_text, overlap, split_sentences, tokenize
+from quillmark.functions.text import bigrams, collapse, normalize_text, overlap, sentence_parts, tokenize, with_whole
 from quillmark.operators import rules
 
 #: Cue words of contradiction, weights of verifiers, priorities of scopes.
@@ -16,11 +16,15 @@ PRIORITY = {"full_text": 5, "abstract": 4, "metadata_snippet": 3, "metadata": 2,
 
 def evidence_spans(records: DataFrame, key: str) -> DataFrame:
     """(key, ord, scope, text): the title, then the sentences of the abstract; a text that repeats counts once, at its first place."""
-    title = F.filter(F.array(collapse("title")), lambda x: F.length(x) > 0)
-    tag = lambda scope: lambda x: F.struct(F.lit(scope).alias("scope"), x.alias("text"))
-    spans = F.concat(F.transform(title, tag("title")), F.transform(split_sentences("abstract"), tag("abstract")))
-    x = records.select(key, F.posexplode(spans).alias("ord", "s")).select(key, "ord", "s.scope", "s.text")
-    return x.groupBy(key, "text").agg(F.min(F.struct("ord", "scope")).alias("m")).select(key, F.col("m.ord").alias("ord"), F.col("m.scope").alias("scope"), "text")
+    # columns of their own, as an expression inside an array function is computed again wherever it stands
+    x = records.select(key, collapse("title").alias("__t"), collapse("abstract").alias("__w")).withColumn("__p", sentence_parts("__w"))
+    title = F.filter(F.array("__t"), lambda t: F.length(t) > 0)
+    x = x.select(key, F.size(title).alias("__n"), F.concat(title, with_whole(F.col("__p"), F.col("__w"))).alias("__l"))
+    # the places of each text stand together, so a document's repeats are found within its row: no text is shuffled
+    x = x.select(key, "__n", F.array_sort(F.transform("__l", lambda t, i: F.struct(t.alias("text"), i.alias("ord")))).alias("__s"))
+    first = F.filter("__s", lambda s, i: (i == 0) | (s["text"] != F.get("__s", i - 1)["text"]))
+    x = x.select(key, "__n", F.explode(first).alias("s"))
+    return x.select(key, "s.ord", F.when(F.col("s.ord") < F.col("__n"), "title").otherwise("abstract").alias("scope"), "s.text")
 
 
 def heuristic_support(pairs: DataFrame, claim: str, evidence: str, threshold: float = 0.18) -> DataFrame:

@@ -129,3 +129,25 @@ def test_few_asked_tokens_are_counted_in_the_task(spark, monkeypatch):
 
     monkeypatch.setattr(retrieve, "tokens", never)
     assert rows() == want
+
+
+def test_spans_are_found_within_the_row_of_a_document(spark):
+    from quillmark.operators import support
+
+    rows = [
+        (1, " A  title. ", "B.\t B.  \u00a0C!  A title. B. D"), (2, "", "One."), (3, None, None), (4, "Same", " Same\n"), (5, "x", " \n. . .  a"),
+        (6, "t", "a\x0bb\x0c c\r\n\r\nd.  e? f!g.h"), (7, "t", "repeat it. " * 30),
+    ]
+    df = support.evidence_spans(spark.createDataFrame(rows, "k long, title string, abstract string"), "k")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    want = []
+    for k, title, abstract in rows:
+        flat = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", " ", t or "").strip(" ")
+        whole = flat(abstract)
+        parts = [x for x in re.split(r"(?<=[.!?]) +", whole) if x]
+        spans = [("title", flat(title))] * bool(flat(title)) + [("abstract", x) for x in parts + [whole] * bool(whole and whole not in parts)]
+        seen = set()
+        want += [(k, i, s, t) for i, (s, t) in enumerate(spans) if not (t in seen or seen.add(t))]
+    assert sorted(map(tuple, df.collect())) == sorted(want)
