@@ -210,6 +210,38 @@ def test_expiry_equals_the_batch_rule_at_every_trigger(spark):
     assert read == len(rows) and any(c[0] == "expired" for _, b in seen for c in b)
 
 
+def test_a_bucket_of_keys_costs_a_few_calls_to_the_state():
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        """State and timers of one bucket."""
+
+        def __init__(self):
+            self.state, self.timers = None, set()
+            self.get, self.update = (lambda: calls.append("get") or self.state), (lambda x: calls.append("update") or setattr(self, "state", x))
+            self.exists, self.clear = (lambda: self.state is not None), (lambda: setattr(self, "state", None))
+            self.getValueState = lambda *_: self
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    h, p = Handle(), expiry.Expiring(900, 200)
+    p.init(h)
+    n = 5000
+    rows = pd.DataFrame({"key": [f"k{i % n}" for i in range(2 * n)], "ms": [i // n * 10 for i in range(2 * n)], "row_id": range(2 * n), "value": "v", "record_count": [i % 2 for i in range(2 * n)], "failed": False})
+    out = pd.concat(p.handleInputRows((0,), iter([rows[:n], rows[n:]]), None))
+    assert len(calls) <= 4 and len(out) == n and set(out["updated_ms"]) == {10} and h.timers == {200_010}
+    h.timers.clear()  # as Spark does with one that went off
+    gone = pd.concat(p.handleExpiredTimer((0,), At(200_010), At(200_010)))
+    assert set(gone["key"]) == {f"k{i}" for i in range(0, n, 2)} and h.timers == {900_010} and len(calls) <= 8
+    assert [*p.handleInputRows((0,), iter([rows[:n]]), None)][0]["key"].nunique() == n // 2  # those that are gone may come again, those held are newer
+    assert h.timers == {200_000}
+
+
 # ---- audits ------------------------------------------------------------------------------------------------------
 
 
