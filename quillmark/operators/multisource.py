@@ -17,6 +17,7 @@ from quillmark.functions.ident import author_coverage, base_arxiv, normalize_arx
 from quillmark.functions.text import blank, normalize_text, tokenize
 from quillmark.operators import audit, resolve, retrieve
 from quillmark.operators.similarity import sequence_similarity
+from quillmark.session import written
 
 FIELDS = ("title", "authors", "year", "venue", "abstract", "doi", "arxiv_id", "url")
 LEAST_OF_SOURCE, MATCH = 3, 0.70
@@ -95,13 +96,42 @@ def match_score(cand: Column, rec: Column, similarity: Similarity) -> Column:
     return resolve.source_score(similarity(cand["title"], rec["title"]), equal("doi", normalize_doi), equal("arxiv_id", base_arxiv), author_coverage(cand["authors"], rec["authors"]), F.coalesce(year_matches(cand["year"], rec["year"]), F.lit(False)))
 
 
+def _given(f: str) -> Column:
+    return F.length(blank(f)) > 0
+
+
+def _compared(asked: DataFrame, keys: list[DataFrame]) -> DataFrame:
+    """(cand_id, at): the references whose title each source has to compare with similar ones.
+
+    Title, authors and year score 0.40 together, so what is found by a similar title counts where it is merged with a record of the
+    reference's DOI or base arXiv id. A record of that DOI is found by it. So the reference has an arXiv id, and the source a record of the
+    identity of a record, of any source, of that id's base. Identifiers of which normalisation leaves nothing equal each other; they are rare and all compared.
+    """
+    known = None
+    for i, records in enumerate(keys):
+        rows = records.select(F.lit(i).alias("at"), F.when(_given("arxiv_id"), base_arxiv("arxiv_id")).alias("base"), record_key("doi", "arxiv_id", "title").alias("identity"))
+        known = rows if known is None else known.unionByName(rows)
+    known = written(known.distinct(), "known")
+    bases = known.where("base is not null").select("base", "identity").distinct().join(known.select("at", "identity").distinct(), "identity").select("base", "at").distinct()
+    base, bare = base_arxiv("arxiv_id"), (_given("doi") & (F.length(normalize_doi("doi")) == 0)) | (_given("arxiv_id") & (F.length(base_arxiv("arxiv_id")) == 0))
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(keys) - 1))).alias("at")
+    some = asked.where(_given("arxiv_id") & ~bare).select("cand_id", base.alias("base")).join(bases, "base").select("cand_id", "at")
+    return written(some.unionByName(asked.where(bare).select("cand_id", every)), "compared")
+
+
 def lookup(candidates: DataFrame, sources: dict[str, DataFrame], similarity: Similarity = sequence_similarity) -> DataFrame:
-    """(cand_id, score, rec): each source looks a reference up by itself; of the merged records the best, if it scores MATCH at least."""
+    """(cand_id, score, rec): each source looks a reference up by itself; of the merged records the best, if it scores MATCH at least.
+
+    No reference without identifiers scores that (see ``_compared``). The rows are those of a lookup of all references and all titles.
+    """
     hits = None
-    for i, records in enumerate(sources.values()):
-        found = audit.cascade(candidates, records).where("doc_id is not null").select("cand_id", "doc_id", F.lit(i).alias("at"), F.lit(i).alias("ord"))
+    asked = written(candidates.select("cand_id", "title", "authors", "year", "doi", "arxiv_id").where(_given("doi") | _given("arxiv_id")), "references")
+    keys = [written(records.select("doc_id", "doi", "arxiv_id", "title"), "keys") for records in sources.values()]
+    compared = _compared(asked, keys)
+    for i, records in enumerate(keys):
+        found = audit.cascade(asked, records, compared.where(F.col("at") == i)).where("doc_id is not null").select("cand_id", "doc_id", F.lit(i).alias("at"), F.lit(i).alias("ord"))
         hits = found if hits is None else hits.unionByName(found)
-    asked = candidates.select("cand_id", F.struct("title", "authors", "year", "doi", "arxiv_id").alias("cand"))
+    asked = asked.select("cand_id", F.struct("title", "authors", "year", "doi", "arxiv_id").alias("cand"))
     merged = fold(_whole(hits, sources), ["cand_id"]).join(asked, "cand_id")
     scored = merged.withColumn("score", F.round(match_score(F.col("cand"), F.col("rec"), similarity), 6))
     best = scored.groupBy("cand_id").agg(F.min_by(F.struct("score", "rec"), F.struct(-F.col("score"), "ord")).alias("x"))

@@ -333,6 +333,39 @@ def test_search_over_sources_equals_definition(spark):
 # ---- counter-evidence --------------------------------------------------------------------------------------------
 
 
+def _references(spark, n=60):
+    """References and three sources of few titles, near titles, identifiers of several versions and identifiers of which nothing is left."""
+    rng = random.Random(5)
+    titles = ["a study of graph search engines", "a study of graph search engine", "b study of graph search engines", "the quick brown fox jumps over", "the quick brown fox jumped over", "quick brown foxes jump over it", ""]
+    dois, ids = ["", "", "10.1/a", "doi: 10.1/A", "10.1/b", "doi:", None], ["", "", "2001.00001v1", "arXiv: 2001.00001v2", "2001.00002", "v2", "arxiv:", None]
+    row = lambda i: (i, rng.choice(titles), ["Ann B"], rng.choice([2000, 2001, 2005]), rng.choice(["", "V"]), "", rng.choice(dois), rng.choice(ids), "")
+    schema = "doc_id long, title string, authors array<string>, year int, venue string, abstract string, doi string, arxiv_id string, url string"
+    frames = {name: spark.createDataFrame([row(i) for i in range(8)], schema).withColumns({"source": F.lit(name), "source_score": F.lit(1.0)}) for name in ("x", "y", "z")}
+    return spark.createDataFrame([row(i) for i in range(n)], schema).withColumnRenamed("doc_id", "cand_id"), frames
+
+
+def test_lookup_equals_that_of_all_titles(spark, monkeypatch):
+    asked, frames = _references(spark)
+    got = {r["cand_id"]: r for r in multisource.lookup(asked, frames).collect()}
+    cascade = audit.cascade
+    monkeypatch.setattr(audit, "cascade", lambda candidates, corpus, compared=None: cascade(candidates, corpus))
+    every = {r["cand_id"]: r for r in multisource.lookup(asked, frames).collect()}
+    assert got == every and len(every) > 10
+    monkeypatch.setattr(multisource, "_given", lambda f: F.lit(True))
+    assert got == {r["cand_id"]: r for r in multisource.lookup(asked, frames).collect()}
+
+
+def test_lookup_compares_no_titles_in_vain(spark, monkeypatch):
+    asked, frames = _references(spark)
+    few = asked.where("coalesce(arxiv_id, '') = '' AND coalesce(doi, '') NOT IN ('', 'doi:') OR coalesce(doi, '') = '' AND coalesce(arxiv_id, '') = ''")
+
+    def refuse(left, right):
+        raise AssertionError("titles are compared with all others")
+
+    monkeypatch.setattr(audit, "best_matches", refuse)
+    assert multisource.lookup(few, frames).count() > 0
+
+
 def test_leads_are_folded_ranked_and_cut(spark):
     record = "doc_id long, title string, abstract string, doi string, arxiv_id string, source_score double"
     records = spark.createDataFrame(
