@@ -151,3 +151,40 @@ def test_spans_are_found_within_the_row_of_a_document(spark):
         seen = set()
         want += [(k, i, s, t) for i, (s, t) in enumerate(spans) if not (t in seen or seen.add(t))]
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_few_queries_are_scored_where_the_documents_are(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    texts = [*_texts(rng, 400, words), None, "", "the of", "W1\u0130x \u212aw2 w3\u00e9w4", "w1 \u4e2d\u6587\u5b57 w2"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, t string").repartition(5)
+    asked = spark.createDataFrame(list(enumerate([*_texts(rng, 30, words), "", "none there", "w1 w1 \u4e2d\u6587", "w1i kw2"])), "query_id long, q string")
+    searches = [retrieve.bm25, retrieve.cosine, retrieve.hybrid_search]
+    rows = lambda: [sorted(map(tuple, f(docs, "doc_id", "t", asked, "q", 7).collect())) for f in searches]
+    with monkeypatch.context() as m:
+        m.setattr(retrieve, "WEIGHTS", 0)
+        dealt = rows()
+
+    def never(*_, **__):
+        raise AssertionError("postings are dealt to shards")
+
+    monkeypatch.setattr(retrieve, "best", never)
+    assert rows() == dealt and all(len(x) > 100 for x in dealt)
+
+
+def test_words_of_bytes_are_those_of_normalised_texts(spark):
+    from quillmark.functions.text import tokenize
+
+    texts = ["", "A-b c3 THE", "\u0130stanbul \u212aelvin", "na\u00efve caf\u00e9\u0301 x", "\u4e2d\u6587\u5b57 and a\u4e2d", "\u3400\u9fff\ua000 z", "\U0001f600smile \uff21b", "tab\tline\nnul\x00x", "\u03a3\u03c2 \u00dfs"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokenize("t").alias("k")).collect()
+    stops = {w.encode() for w in retrieve.STOPWORDS}
+    assert [[w for w in retrieve._raw_words(r["t"].encode()) if w not in stops] for r in got] == [[w.encode() for w in r["k"]] for r in got]
+
+
+def test_texts_of_few_hits_are_not_shuffled(spark, sf_dir):
+    from quillmark.plans import catalogue
+
+    for name in ("heuristic_support", "contradiction_cues"):
+        plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+    assert "strategy=broadcast" in catalogue._evidence(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
