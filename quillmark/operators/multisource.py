@@ -17,7 +17,7 @@ from quillmark.functions.ident import author_coverage, base_arxiv, normalize_arx
 from quillmark.functions.text import blank, normalize_text, tokenize
 from quillmark.operators import audit, resolve, retrieve
 from quillmark.operators.similarity import sequence_similarity
-from quillmark.session import written
+from quillmark.session import handed, written
 
 FIELDS = ("title", "authors", "year", "venue", "abstract", "doi", "arxiv_id", "url")
 LEAST_OF_SOURCE, MATCH = 3, 0.70
@@ -69,7 +69,7 @@ def rank_score(query: Column, rec: Column, similarity: Similarity) -> Column:
 
 def _whole(hits: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     """``hits`` (with at, the number of the source, and doc_id) and the columns of their records."""
-    every = None
+    every, (hits, _) = None, handed(hits, "hits")
     for i, records in enumerate(sources.values()):
         rows = hits.where(F.col("at") == i).join(records.select("doc_id", *FIELDS, "source", "source_score"), "doc_id")
         every = rows if every is None else every.unionByName(rows)
