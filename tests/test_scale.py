@@ -159,7 +159,7 @@ def test_few_queries_are_scored_where_the_documents_are(spark, monkeypatch):
     texts = [*_texts(rng, 400, words), None, "", "the of", "W1\u0130x \u212aw2 w3\u00e9w4", "w1 \u4e2d\u6587\u5b57 w2"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, t string").repartition(5)
     asked = spark.createDataFrame(list(enumerate([*_texts(rng, 30, words), "", "none there", "w1 w1 \u4e2d\u6587", "w1i kw2"])), "query_id long, q string")
-    searches = [retrieve.bm25, retrieve.cosine, retrieve.hybrid_search]
+    searches = [retrieve.bm25, retrieve.cosine, retrieve.hybrid_search, retrieve.overlap_search]
     rows = lambda: [sorted(map(tuple, f(docs, "doc_id", "t", asked, "q", 7).collect())) for f in searches]
     with monkeypatch.context() as m:
         m.setattr(retrieve, "WEIGHTS", 0)
@@ -169,6 +169,7 @@ def test_few_queries_are_scored_where_the_documents_are(spark, monkeypatch):
         raise AssertionError("postings are dealt to shards")
 
     monkeypatch.setattr(retrieve, "best", never)
+    monkeypatch.setattr(retrieve, "_most_shared", never)
     assert rows() == dealt and all(len(x) > 100 for x in dealt)
 
 
