@@ -189,3 +189,25 @@ def test_texts_of_few_hits_are_not_shuffled(spark, sf_dir):
         plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "strategy=broadcast" in plan
     assert "strategy=broadcast" in catalogue._evidence(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def near_titles(spark, tmp_path_factory):
+    """Documents 7 and 17 are cited without the first character of their titles; documents 2 and 3 have titles with one character more elsewhere."""
+    folder = str(tmp_path_factory.mktemp("near"))
+    texts = {2: "est leouen onoi la eaule que aioneux enaux", 3: "es leouen onoi la eaule que aioneux enauxs", 7: "des leouen onoi la eaule que aioneux enaux", 13: "En mi de ci nez que del ci nes ci", 17: "Se mi de ci nez que del ci nes ci", 27: "der enen be ist enpf ach ge erach"}
+    rows = [(i, t, "de", "web", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("query", ["author_year"])
+def test_of_equally_similar_titles_the_one_that_ends_with_the_given_is_found(spark, near_titles, query):
+    duckdb = pytest.importorskip("duckdb")
+    from quillmark.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{near_titles}/documents.parquet/*.parquet')")
+    got = catalogue.queries()[query](spark, near_titles)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[query]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
