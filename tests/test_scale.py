@@ -201,7 +201,7 @@ def near_titles(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("query", ["author_year", "fallback_cascade"])
+@pytest.mark.parametrize("query", ["author_year", "fallback_cascade", "field_diffs"])
 def test_of_equally_similar_titles_the_one_that_ends_with_the_given_is_found(spark, near_titles, query):
     duckdb = pytest.importorskip("duckdb")
     from quillmark.plans import catalogue
