@@ -211,3 +211,25 @@ def test_of_equally_similar_titles_the_one_that_ends_with_the_given_is_found(spa
     got = catalogue.queries()[query](spark, near_titles)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[query]})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_overlap_search_copies_neither_side_for_the_other(spark, monkeypatch):
+    for name, value in (("BLOCK", 10), ("POSTINGS", 300), ("QUERIES", 20)):
+        monkeypatch.setattr(retrieve, name, value)
+    kept = []
+    plain = retrieve.new_folder
+    monkeypatch.setattr(retrieve, "new_folder", lambda spark, name: kept.append(plain(spark, name)) or kept[-1])
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    docs, asked = _texts(rng, 400, words), _texts(rng, 150, words)
+    sets = [set(retrieve._words(t)) for t in docs]
+    known = set().union(*(retrieve._words(t) for t in asked))
+    for name in (lambda i: i, lambda i: f"d{i:03d}"):  # keys of either kind
+        d = spark.createDataFrame([(name(i), t) for i, t in enumerate(docs)], ["doc_id", "t"])
+        found = retrieve.overlap_search(d, "doc_id", "t", spark.createDataFrame(list(enumerate(asked)), "query_id long, q string"), "q", 4)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "CoGroup" not in plan
+        table = spark.read.parquet(kept[-1])
+        assert table.selectExpr("sum(size(at))").first()[0] == sum(len(x & known) for x in sets) and table.select("shard").distinct().count() > 2
+        want = {(i, r, name(j)) for i, t in enumerate(asked) for r, (_, j) in enumerate(sorted((-len(set(retrieve._words(t)) & s), j) for j, s in enumerate(sets) if set(retrieve._words(t)) & s)[:4], 1)}
+        assert {(r["query_id"], r["rank"], r["doc_id"]) for r in found.collect()} == want
